@@ -46,6 +46,7 @@ ABBREVIATIONS = [
     ("CET", "+01:00", ["Europe/"]),
     ("CEST", "+02:00", ["Europe/"]),
 ]
+_SHARED = sorted({a for a, _, _ in ABBREVIATIONS if sum(x[0] == a for x in ABBREVIATIONS) > 1})
 
 _TIME = r"(\d{1,2}):(\d\d)(?::(\d\d)(?:[.,](\d{1,9}))?)?(?: *([AaPp])[Mm](?![A-Za-z]))?"
 _ZONE = r"(?: *([Zz]|[+-]\d\d(?::?\d\d)?|[A-Za-z]{2,5}|[A-Za-z]+/[A-Za-z_/+-]+))?(?: *\([^)]*\))?"
@@ -84,7 +85,8 @@ def _month(c: Column) -> Column:
 
 def _region(c: Column) -> Column:
     """The name if it is a known region, else null: an unknown one would end the job."""
-    return F.when(c.isin(sorted(z for z in zoneinfo.available_timezones() if "/" in z)) | c.isin("UTC", "GMT"), c)
+    known = ",".join(["UTC", "GMT", *sorted(z for z in zoneinfo.available_timezones() if "/" in z)])
+    return F.when(F.array_contains(F.split(F.lit(known), ","), c), c)
 
 
 def _zone(c: Column) -> Column:
@@ -147,6 +149,7 @@ def _em(prior_mass: float, rounds: int):
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         """One source and layout: posteriors of the readings of each candidate set."""
         rows = []
+        pdf = pdf[pdf.readings.notna()]
         for _, group in pdf.groupby("layout", dropna=False):
             names = sorted({r for s in group.readings for r in s})
             day_first, zone = group.day_first.iloc[0], group.zone.iloc[0]
@@ -180,7 +183,7 @@ def _em(prior_mass: float, rounds: int):
 
 
 def normalise_timestamps(
-    df: DataFrame, text_col: str, source_col: str, zone_col: str, day_first_col: str, prior_mass: float = 1.0, rounds: int = 30, certainty: float = 0.95
+    df: DataFrame, text_col: str, source_col: str, zone_col: str, day_first_col: str, prior_mass: float = 1.0, rounds: int = 30, certainty: float = 0.95, max_broadcast_rows: int = 20_000
 ) -> DataFrame:
     """``df`` with utc_instant (TIMESTAMP), reading, posterior and status (see the module).
 
@@ -193,15 +196,24 @@ def normalise_timestamps(
     names = F.transform(F.col("_cands"), lambda c: c["reading"])
     source = F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(""))
     found = found.withColumns({"_source": source, "_names": F.when(several, names)})
+    # the first filter reads the text alone, so that pushing it down repeats no parsing; sets without a choice are left
+    # out inside the fit for the same reason
+    open_text = F.col(f"`{text_col}`").rlike(r"^\s*\d+/\d+/") | F.upper(F.col(f"`{text_col}`")).rlike("(" + "|".join(_SHARED) + r")\W*$")
     sets = (
-        found.where(F.col("_names").isNotNull())
+        found.where(open_text)
         .groupBy(F.col("_source").alias("source"), F.col("_layout").alias("layout"), F.col("_names").alias("readings"))
         .agg(F.count(F.lit(1)).alias("n"), F.max(F.col(f"`{day_first_col}`")).alias("day_first"), F.max(F.col(f"`{zone_col}`")).alias("zone"))
     )
-    chosen = sets.groupBy("source").applyInPandas(_em(prior_mass, rounds), "source string, layout string, readings array<string>, reading string, posterior double")
-    chosen = chosen.select(F.col("source").alias("_source"), F.col("layout").alias("_layout"), F.col("readings").alias("_names"), F.col("reading").alias("_reading"), F.col("posterior").alias("_posterior"))
-    # rows without a choice keep their place; the others meet their small table of choices (AQE broadcasts it by its size)
-    out = found.join(chosen, ["_source", "_layout", "_names"], "left")
+    choice = "source string, layout string, readings array<string>, reading string, posterior double"
+    chosen = sets.groupBy("source").applyInPandas(_em(prior_mass, rounds), choice)
+    renamed = lambda c: c.toDF("_source", "_layout", "_names", "_reading", "_posterior")
+    few = chosen.limit(max_broadcast_rows + 1).collect()
+    if len(few) <= max_broadcast_rows:
+        small = df.sparkSession.createDataFrame([tuple(r) for r in few], choice)
+        out = found.join(F.broadcast(renamed(small)), ["_source", "_layout", "_names"], "left")
+    else:  # very many sources: only rows with a choice enter the exchange, so null keys cannot pile up in one task
+        named = found.where(open_text).join(renamed(chosen), ["_source", "_layout", "_names"], "left")
+        out = named.unionByName(found.where(~F.coalesce(open_text, F.lit(False))), allowMissingColumns=True)
     sure = F.col("_names").isNull() | (F.col("_posterior") >= certainty)
     picked = F.get(F.filter(F.col("_cands"), lambda c: F.col("_names").isNull() | (c["reading"] == F.col("_reading"))), F.lit(0))["utc"]
     utc = F.when(sure, picked)
