@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tacitra.llm.encoding import garbled_rows
 from tacitra.llm.leakage import leaked_items
+from tacitra.llm.spam import spam_pages
 from tacitra.llm.tokenize import encode_corpus
 from tacitra.sources.tables import table
 
@@ -22,8 +23,12 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", ["passage", "question"])
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam_pages(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id")
+
+
 def queries() -> dict:
-    return {"p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found}
+    return {"p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
