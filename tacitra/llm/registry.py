@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tacitra.llm.encoding import garbled_rows
 from tacitra.llm.leakage import leaked_items
+from tacitra.llm.newtext import foreign_lines
 from tacitra.llm.spam import spam_pages
 from tacitra.llm.tokenize import encode_corpus
 from tacitra.sources.tables import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return foreign_lines(table(spark, sf_dir, "enron_emails"), "row_id", "body").select("row_id", "line_no")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled_rows(table(spark, sf_dir, "enron_emails"), "row_id", "body").select("row_id")
 
@@ -28,7 +33,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p3_found": p3_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ measure from the same automaton is the share of the page that one repeated phras
 alone does not make spam (minutes and manuals repeat themselves too), so it counts only in units without clause
 structure: a unit is a line or sentence, and it has clause structure if it ends like a sentence, has a sentence's length
 and holds function words or few repetitions. Words of links, captions of links, hashtags and lists of product tags
-count by themselves; lines that open with a time are log entries and count only for a dominating phrase.
+count by themselves; lines that open with a time are log entries and never count.
 
 Defined results
 * a page is spam if more than half of its words are counted so; null, empty, blank and wordless texts are not;
@@ -172,7 +172,7 @@ def spam_words(text: str) -> tuple[int, int]:
             bare = functional < 0.1 * size and size >= 12  # no clause at all: two occurrences are enough
             shown = sum((touched if bare else covered)[u] for u in free)
             digits = sum(w[0].isdigit() for w in words)
-            if thick >= 0.3 * size or not logged and not clause and functional < 0.45 * size and shown >= 0.5 * size and digits < 0.3 * size:
+            if not logged and (thick >= 0.3 * size or not clause and functional < 0.45 * size and shown >= 0.5 * size and digits < 0.3 * size):
                 for u in free:
                     spam[u] = True
     if product_lines >= 4:  # a list of product tags, not one number in passing
