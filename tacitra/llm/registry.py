@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tacitra.llm.encoding import garbled_rows
 from tacitra.llm.leakage import leaked_items
 from tacitra.llm.newtext import foreign_lines
+from tacitra.llm.personal import personal_data, without_personal_data
 from tacitra.llm.spam import spam_pages
 from tacitra.llm.tokenize import encode_corpus
 from tacitra.sources.tables import table
@@ -16,6 +17,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return foreign_lines(table(spark, sf_dir, "enron_emails"), "row_id", "body").select("row_id", "line_no")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "enron_emails"), "row_id", ["subject", "body"])
+
+
+def p5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every subject and body with its personal data replaced by keyed surrogates."""
+    return without_personal_data(table(spark, sf_dir, "enron_emails"), "row_id", ["subject", "body"], key="surrogates of the test corpus")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled_rows(table(spark, sf_dir, "enron_emails"), "row_id", "body").select("row_id")
 
@@ -33,7 +43,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p3_found": p3_found, "p5_found": p5_found, "p5_surrogates": p5_surrogates, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
