@@ -16,7 +16,7 @@ GIVEN = {
     "daniel": ("m", "dan danny"),
     "deborah": ("f", "deb debbie debby"),
     "dorothea": ("f", "dot dottie thea"),
-    "edward": ("m", "ed eddie ted ned edw"),
+    "edward": ("m", "ed eddie ned edw"),
     "elizabeth": ("f", "liz beth betty eliza lizzie betsy"),
     "fiona": ("f", "fi"),
     "frederick": ("m", "fred freddie fritz"),
@@ -47,7 +47,7 @@ GIVEN = {
     "samuel": ("m", "sam sammy"),
     "steven": ("m", "steve stephen"),
     "susan": ("f", "sue susie suzy"),
-    "theodore": ("m", "theo teddy"),
+    "theodore": ("m", "theo ted teddy"),
     "thomas": ("m", "tom tommy thos"),
     "tomasz": ("m", "tomek"),
     "ulrich": ("m", "uli"),
@@ -61,6 +61,8 @@ GIVEN = {
 }
 SHORT = {s: full for full, (_, shorts) in GIVEN.items() for s in shorts.split()}
 
+SHORT_ALSO = {"ted": "edward", "kit": "katherine", "kat": "katherine", "sandy": "sandra", "lex": "alexandra", "bert": "robert"}
+
 
 def fold(text: str) -> str:
     """Lower case without accents."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tacitra.llm.encoding import garbled_rows
+from tacitra.llm.entities import linked_addresses
 from tacitra.llm.leakage import leaked_items
 from tacitra.llm.newtext import foreign_lines
 from tacitra.llm.personal import personal_data, without_personal_data
@@ -17,6 +18,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return foreign_lines(table(spark, sf_dir, "enron_emails"), "row_id", "body").select("row_id", "line_no")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_addresses(table(spark, sf_dir, "clean_names"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "enron_emails"), "row_id", ["subject", "body"])
 
@@ -43,7 +48,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p5_found": p5_found, "p5_surrogates": p5_surrogates, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_surrogates": p5_surrogates, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
