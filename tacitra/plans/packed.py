@@ -29,3 +29,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p7_found": p7_found}
+
+SQL = {
+    "p2_found": r"""WITH k AS (SELECT row_id, received_at, regexp_replace(message_id, '^[\s<>]+|[\s<>]+$', '', 'g') AS m FROM enron_emails),
+        q AS (SELECT row_id, received_at, CASE WHEN m = '' THEN NULL WHEN contains(m, '@') THEN regexp_replace(m, '@[^@]*$', '') || '@' || lower(regexp_extract(m, '@([^@]*)$', 1)) ELSE m END AS k FROM k)
+        SELECT row_id FROM (SELECT row_id, row_number() OVER (PARTITION BY k ORDER BY received_at, row_id) AS rk FROM q WHERE k IS NOT NULL) WHERE rk > 1""",
+}

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from tacitra.plans import packed
+from tacitra.plans import knowledge, network, packed
 
-FLAGSHIP = packed.p7_found
+MODULES = [knowledge, network]
+FLAGSHIP = knowledge.topic_vulnerability
 
 
 def queries() -> dict:
-    return dict(packed.QUERIES)
+    found = dict(packed.QUERIES)
+    for module in MODULES:
+        found |= module.QUERIES
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found = dict(packed.SQL)
+    for module in MODULES:
+        found |= module.SQL
+    return found
