@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tacitra.plans import knowledge, network, packed
+from tacitra.plans import departures, knowledge, network, packed, risks, texts
 
-MODULES = [knowledge, network]
+MODULES = [knowledge, network, risks, departures, texts]
 FLAGSHIP = knowledge.topic_vulnerability
 
 
