@@ -113,7 +113,7 @@ def split_packed(column: pa.Array) -> pa.LargeListArray:
     solid = ~_SPACE[data]
     after = _next(solid)
     following = np.where(after < end, data[np.minimum(after, n - 1)], 0)
-    before = _last(solid)
+    before = _shift(_last(solid))
     preceding = np.where(before >= start, data[np.maximum(before, 0)], 0)
     before_quote = (preceding == 34) & quoted[np.maximum(before, 0)]
     glue = _SPACE[data] & ((following == 40) | before_quote & (following == 60))
