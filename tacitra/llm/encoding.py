@@ -49,8 +49,8 @@ _TABLES = {codec: _back(codec) for codec in LEGACY}
 _ABSENT = {codec: re.compile("[^\x00-\x7f" + "".join(re.escape(chr(c)) for c in table) + "]") for codec, table in _TABLES.items()}
 
 
-def _decode_spans(run: str) -> str | None:
-    """``run`` with its well-formed multi-byte spans decoded; None if it holds none."""
+def _decode_spans(run: str, lone: bool = False) -> str | None:
+    """``run`` with its well-formed multi-byte spans decoded; None if it holds none. ``lone``: single Cyrillic letters too."""
     best = None
     for codec in LEGACY:
         if codec == "cp1251" and not re.search("[^А-яЁё]", run):
@@ -59,7 +59,7 @@ def _decode_spans(run: str) -> str | None:
         out, at, won = [], 0, 0
         for span in _SPAN.finditer(mapped):
             text = span[0].encode("latin-1").decode("utf-8")
-            if not _PLAUSIBLE.fullmatch(text) or len(text) < 2 and _CYRILLIC.match(text):
+            if not _PLAUSIBLE.fullmatch(text) or len(text) < 2 and not lone and _CYRILLIC.match(text):
                 continue
             out += [run[at : span.start()], text]
             at, won = span.end(), won + len(span[0])
@@ -98,17 +98,20 @@ def inspect_text(text: str) -> tuple[str, list[str]]:
     kinds: list[str] = []
     restored = text
     for _ in range(3):
-        changed = False
+        changed, lone = False, False
 
         def undo(m: re.Match) -> str:
             nonlocal changed
-            got = _decode_spans(m[0])
+            got = _decode_spans(m[0], lone)
             changed = changed or got is not None
             return m[0] if got is None else got
 
         restored = _WIDE.sub(undo, restored)
         if not changed:
             break
+        if _CYRILLIC.search(restored) and not _CYRILLIC.search(text):  # where words were Cyrillic, single letters are too
+            lone = True
+            restored = _WIDE.sub(undo, restored)
         kinds.append("multi-byte")
     if _HARD.search(restored):
         kinds.append("lost" if "�" in restored else "control")
@@ -137,7 +140,9 @@ def _fitting(text: str, shape: re.Pattern, pairs: list[tuple[str, str]]) -> tupl
     """The pair of encodings that leaves the fewest damaged shapes in the words with such a shape."""
     words = [m[0] for m in _TOKEN.finditer(text) if shape.search(m[0])]
     left = {p: sum(any(rule.search(_turn(w, *p)) for _, rule, _ in RULES) for w in words) for p in pairs}
-    best = min(pairs, key=left.get)
+    # unusual signs against the letters that Russian uses most
+    odd = {p: sum((c.isupper() or not c.isalnum()) - (c in "оеаинтср") for w in words for c in _turn(w, *p)) for p in pairs}
+    best = min(pairs, key=lambda p: (left[p], odd[p]))
     return best if words and left[best] < len(words) else None
 
 

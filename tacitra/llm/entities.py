@@ -255,7 +255,7 @@ def _shards(word) -> list:
     """Keys of which two words within one edit share at least one: an edit leaves the head or the tail as it is."""
     n = F.length(word)
     keys = [(n >= 6, 3), ((n >= 5) & (n <= 7), 2), (n <= 6, 1)]
-    return [F.when(cond, F.concat(F.lit(f"{side}{k}"), F.substring(word, *((1, k) if side == "h" else (-k, k))))) for cond, k in keys for side in "ht"]
+    return [F.when(n <= 2, F.lit("short"))] + [F.when(cond, F.concat(F.lit(f"{side}{k}"), F.substring(word, *((1, k) if side == "h" else (-k, k))))) for cond, k in keys for side in "ht"]
 
 
 def near_words(words: DataFrame, probes: DataFrame, block: int = 20_000) -> DataFrame:
@@ -325,10 +325,16 @@ def entity_keys(export: DataFrame, names_col: str = "display_names") -> DataFram
     found = checkpointed(found.select("addr", "probe", "word", "support").distinct())
     known = found.where("support >= 2").groupBy("addr").agg(F.max_by("word", F.struct("support", "word")).alias("known"))
     labels = _component_labels(found.where("support < 2").select(F.col("probe").alias("a"), F.col("word").alias("b")))
+    # a rarer spelling that stands beside the usual one at some address is that spelling wherever the given name agrees
+    beside = views.join(support, "family").join(best.select("addr", F.col("family").alias("usual"), F.col("support").alias("most")), "addr")
+    beside = beside.where("family != usual AND support < most").select("family", F.explode("given").alias("g"), "usual", "most").where(~F.col("g").endswith("*"))
+    spelt = beside.groupBy("family", "g").agg(F.max_by("usual", F.struct("most", "usual")).alias("usual"))
+    again = best.join(persons.select("addr", F.explode("given").alias("g")), "addr").join(spelt, ["family", "g"]).groupBy("addr").agg(F.max("usual").alias("usual"))
     family = (
         best.join(known, "addr", "left")
+        .join(again, "addr", "left")
         .join(labels.withColumnRenamed("word", "family"), "family", "left")
-        .select("addr", F.coalesce("known", F.when(F.col("support") < 2, F.col("label")), "family").alias("family"))
+        .select("addr", F.coalesce("known", "usual", F.when(F.col("support") < 2, F.col("label")), "family").alias("family"))
     )
     placed = persons.select("addr", "domain", "given", "middle").join(family, "addr")
 

@@ -169,6 +169,9 @@ def spam_words(text: str) -> tuple[int, int]:
             product_lines += 1
         elif size and not links or size > 3:
             thick = sum(dense[u] for u in free)
+            if clause and size >= 6 and functional >= 0.2 * size:  # a sentence, unless it repeats a phrase within itself
+                inner = [p for p in zip(words, words[1:]) if p in dense_pairs]
+                thick *= len(inner) > len(set(inner))
             bare = functional < 0.1 * size and size >= 12  # no clause at all: two occurrences are enough
             shown = sum((touched if bare else covered)[u] for u in free)
             digits = sum(w[0].isdigit() for w in words)
