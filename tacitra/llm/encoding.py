@@ -56,6 +56,8 @@ def _decode_spans(run: str, lone: bool = False) -> str | None:
         if codec == "cp1251" and not re.search("[^А-яЁё]", run):
             continue  # plain Cyrillic words also look like bytes
         mapped = _ABSENT[codec].sub("\x00", run).translate(_TABLES[codec])
+        if codec == "cp1251" and not _SPAN.fullmatch(mapped):
+            continue  # spans among Cyrillic letters are chance
         out, at, won = [], 0, 0
         for span in _SPAN.finditer(mapped):
             text = span[0].encode("latin-1").decode("utf-8")
@@ -121,7 +123,7 @@ def inspect_text(text: str) -> tuple[str, list[str]]:
     for name, shape, pairs in RULES:
         if shape.search(restored):
             kinds.append(name)
-            pair = _fitting(restored, shape, pairs) if name in _WHOLE else None
+            pair = _fitting(restored, _WHOLE[name], pairs) if name in _WHOLE else None
             if pair:
                 restored = _WHOLE[name].sub(lambda m: _turn(m[0], *pair), restored)
             else:
@@ -136,14 +138,14 @@ def _turn(word: str, wrong: str, right: str) -> str:
         return word
 
 
-def _fitting(text: str, shape: re.Pattern, pairs: list[tuple[str, str]]) -> tuple[str, str] | None:
-    """The pair of encodings that leaves the fewest damaged shapes in the words with such a shape."""
-    words = [m[0] for m in _TOKEN.finditer(text) if shape.search(m[0])]
+def _fitting(text: str, whole: re.Pattern, pairs: list[tuple[str, str]]) -> tuple[str, str] | None:
+    """The pair of encodings that leaves the fewest damaged shapes in the words of the damaged script."""
+    words = whole.findall(text)
     left = {p: sum(any(rule.search(_turn(w, *p)) for _, rule, _ in RULES) for w in words) for p in pairs}
     # unusual signs against the letters that Russian uses most
     odd = {p: sum((c.isupper() or not c.isalnum()) - (c in "оеаинтср") for w in words for c in _turn(w, *p)) for p in pairs}
     best = min(pairs, key=lambda p: (left[p], odd[p]))
-    return best if words and left[best] < len(words) else None
+    return best if left[best] < max(len(words), 1) else None
 
 
 def _redecode(token: str, shape: re.Pattern, pairs: list[tuple[str, str]]) -> str:
