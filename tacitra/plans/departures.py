@@ -54,9 +54,9 @@ _READY = f"""WITH {_EP}, {_B}, {_T}, {_LEAVE}, ro AS (SELECT person, {_ROLE_S} A
     rd AS (SELECT departed, topic, cand, score, same_role, round_even(CASE WHEN same_role THEN raw ELSE least(raw, 0.15) END, 4) AS readiness FROM q)"""
 
 
-@query(_READY + " SELECT departed, topic, cand, same_role, round(readiness, 3) AS readiness FROM rd")
+@query(_READY + " SELECT departed, topic, cand, same_role, readiness FROM rd")
 def successor_readiness(spark, sf):
-    return ready(spark, sf).select("departed", "topic", "cand", "same_role", F.round("readiness", 3).alias("readiness"))
+    return ready(spark, sf).select("departed", "topic", "cand", "same_role", "readiness")
 
 
 @query(None)

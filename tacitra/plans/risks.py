@@ -49,9 +49,9 @@ def titles(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "titles").where("title IS NOT NULL").groupBy(F.lower(F.trim("email")).alias("person")).agg(F.min(F.trim("title")).alias("title"))
 
 
-@query(f"WITH {_T} SELECT person, title, round({_IMPACT}, 2) AS impact, {_ROLE} AS role FROM t")
+@query(f"WITH {_T} SELECT person, title, ({_IMPACT})::DOUBLE AS impact, {_ROLE} AS role FROM t")
 def positional_impact(spark, sf):
-    return titles(spark, sf).select("person", "title", F.round(D.positional_impact(F.col("title")), 2).alias("impact"), D.role_category(F.col("title")).alias("role"))
+    return titles(spark, sf).select("person", "title", D.positional_impact(F.col("title")).alias("impact"), D.role_category(F.col("title")).alias("role"))
 
 
 _DEPT = "CASE " + " ".join(f"WHEN regexp_matches(lower(title), '\\b({w})\\b') THEN '{r}'" for r, w in D.DEPARTMENT) + f" ELSE {_ROLE} END"
