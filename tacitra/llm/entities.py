@@ -251,6 +251,39 @@ def _profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["addr", "domain", "org", "line", "families", "given", "middle", "agreed"])
 
 
+def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``resolve`` over rows sorted by family; the last family of a batch waits for the next one."""
+    held: pd.DataFrame | None = None
+    for pdf in _with_end(batches):
+        if pdf is None:
+            done, held = held, None
+        else:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            last = pdf.family == pdf.family.iloc[-1] if len(pdf) else []
+            done, held = (pdf[~last], pdf[last]) if len(pdf) else (None, pdf)
+        if done is None or not len(done):
+            continue
+        at: dict[str, list[int]] = defaultdict(list)
+        for i, f in enumerate(done.family):
+            at[f].append(i)
+        given, middle = [tuple(g) for g in done.given], [m or "" for m in done.middle]
+        out: list = [None] * len(done)
+        for places in at.values():
+            for i, got in zip(places, resolve([(given[i], middle[i]) for i in places])):
+                out[i] = got
+        yield done.assign(g=[x[0] for x in out], m=[x[1] for x in out], several=[x[2] for x in out])
+
+
+def _with_end(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
+
+
+def _parts(df: DataFrame) -> int:
+    """Partitions for Python work on small rows, which would otherwise be gathered into one task for their few bytes."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _shards(word) -> list:
     """Keys of which two words within one edit share at least one: an edit leaves the head or the tail as it is."""
     n = F.length(word)
@@ -277,6 +310,8 @@ def near_words(words: DataFrame, probes: DataFrame, block: int = 20_000) -> Data
         trie = Trie(left.word)
         return pd.DataFrame([(p, w) for p in right.word for w, d in trie.within(p, 1) if w != p], columns=["probe", "word"])
 
+    n = _parts(words)
+    build, probe = build.repartition(n, "shard", "salt"), probe.repartition(n, "shard", "salt")
     return build.groupBy("shard", "salt").cogroup(probe.groupBy("shard", "salt")).applyInPandas(meet, "probe string, word string").distinct()
 
 
@@ -338,12 +373,9 @@ def entity_keys(export: DataFrame, names_col: str = "display_names") -> DataFram
     )
     placed = persons.select("addr", "domain", "given", "middle").join(family, "addr")
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = resolve([(tuple(g), m or "") for g, m in zip(pdf.given, pdf.middle)])
-        return pdf.assign(g=[x[0] for x in got], m=[x[1] for x in got], several=[x[2] for x in got])
-
     # distinct given names and initials of a family name: a bounded group however many addresses bear it
-    resolved = placed.select("family", "given", "middle").distinct().groupBy("family").applyInPandas(settle, "family string, given array<string>, middle string, g string, m string, several boolean")
+    apart = placed.select("family", "given", "middle").distinct().repartition(_parts(export), "family").sortWithinPartitions("family")
+    resolved = apart.mapInPandas(_settle, "family string, given array<string>, middle string, g string, m string, several boolean")
     resolved = checkpointed(placed.join(resolved, ["family", "given", "middle"]))
     here = resolved.where("g != '' and m != ''").groupBy("family", "g", "domain").agg(F.countDistinct("m").alias("n"), F.min("m").alias("only"))
     person_keys = (

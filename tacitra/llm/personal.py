@@ -281,8 +281,11 @@ class Surrogates:
         return self.letters(value)
 
 
-def replace_personal(text: str, key: bytes | None) -> str:
-    """``text`` with surrogates of ``key``, or with numbered placeholders where the key is None."""
+def replace_personal(text: str, key: bytes | None, made_keys: dict[int, Surrogates] | None = None) -> str:
+    """``text`` with surrogates of ``key``, or with numbered placeholders where the key is None.
+
+    ``made_keys`` keeps the bijections of the key and its advances from text to text.
+    """
     spans = find_personal(text)
     if not spans:
         return text
@@ -296,7 +299,8 @@ def replace_personal(text: str, key: bytes | None) -> str:
     else:
         own = {fold(v) for _, v in values}
         for turn in range(16):
-            s = Surrogates(key + bytes([turn]))
+            known = made_keys if made_keys is not None else {}
+            s = known.get(turn) or known.setdefault(turn, Surrogates(key + bytes([turn])))
             to = {(kind, v): s.replace(v, kind) for kind, v in values}
             made = [fold(x) for (kind, v), x in to.items()]
             if len({(k, fold(v)) for k, v in to}) == len({(k, x) for (k, _), x in zip(to, made)}) and not own & set(made):
@@ -335,8 +339,9 @@ def without_personal_data(df: DataFrame, id_col: str, fields: list[str], key: st
     secret = None if key is None else key.encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, Surrogates] = {}
         for batch in batches:
-            columns = [pa.array([x and replace_personal(x, secret) for x in batch.column(1 + i).to_pylist()], pa.string()) for i in range(len(fields))]
+            columns = [pa.array([x and replace_personal(x, secret, made) for x in batch.column(1 + i).to_pylist()], pa.string()) for i in range(len(fields))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", *[f"f{i}" for i in range(len(fields))]])
 
     schema = ", ".join([f"id {source.schema['id'].dataType.simpleString()}", *[f"f{i} string" for i in range(len(fields))]])

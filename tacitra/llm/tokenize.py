@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +47,13 @@ class MergeTable:
         self.keys = np.array(keys, np.int64)[order]
         self.merged = np.array(merged, np.int64)[order]
 
+    @classmethod
+    def of(cls, arrays: tuple[np.ndarray, np.ndarray, np.ndarray]) -> MergeTable:
+        """The table of the three arrays, which travel as a broadcast."""
+        table = cls.__new__(cls)
+        table.byte_ids, table.keys, table.merged = arrays
+        return table
+
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words one after another, offsets of the words)."""
         none = np.iinfo(np.int64).max
@@ -89,16 +95,11 @@ class MergeTable:
         return ids[order].astype(np.int32), np.concatenate(([0], np.cumsum(np.bincount(who, minlength=len(words)))))
 
 
-@lru_cache(maxsize=4)
-def _pattern():
-    import regex
-
-    return regex.compile(PATTERN)
-
-
 def encode_batch(table: MergeTable, texts: list[str | None], chunk_chars: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts one after another, offsets of the texts). Works through about ``chunk_chars`` at a time."""
-    find = _pattern().findall
+    import regex
+
+    find = regex.compile(PATTERN).findall  # the library keeps compiled patterns
     ids, counts, at = [], [], 0
     while at < len(texts):
         seen: dict[str, int] = {}
@@ -125,15 +126,17 @@ def encode_batch(table: MergeTable, texts: list[str | None], chunk_chars: int =
 
 def encode_corpus(df: DataFrame, id_col: str, text_col: str, ranks_path: str = DEFAULT_RANKS) -> DataFrame:
     """(id, ids ARRAY<INT>) for every row. One pass, no shuffle; the vocabulary (fixed size, some MB) is broadcast."""
-    table = df.sparkSession.sparkContext.broadcast(MergeTable(read_ranks(ranks_path)))
+    made = MergeTable(read_ranks(ranks_path))
+    arrays = df.sparkSession.sparkContext.broadcast((made.byte_ids, made.keys, made.merged))
     source = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = MergeTable.of(arrays.value)
         for batch in batches:
             # slices keep the lists of a batch far below the limit of 32-bit offsets
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                ids, offsets = encode_batch(table.value, part.column(1).to_pylist())
+                ids, offsets = encode_batch(table, part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))], names=["id", "ids"])
 
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
