@@ -84,6 +84,8 @@ def given_names(word: str) -> frozenset[str]:
         return frozenset((word,))
     if word in SHORT:
         return frozenset(x for x in (SHORT[word], SHORT_ALSO.get(word)) if x in GIVEN)
+    if len(word) >= 4 and len(cut := [g for g in GIVEN if g.startswith(word)]) == 1:
+        return frozenset(cut)
     if len(word) >= 3:
         near = [w for w, _ in _GIVEN_TRIE.within(word, 1)]
         if near:
@@ -163,15 +165,13 @@ def read_address(address: str, names: list[str]) -> dict | None:
     words = [[w for w in re.findall(r"[a-z]+", re.sub(r"\([^)]*\)", " ", fold(n)))] for n in names]
     role = re.sub(r"\d+$", "", local)
     company = any(len(w) >= 2 and any(x in COMPANY for x in w[1:]) for w in words)
-    if company or not any(words) and role in ROLES or role in ROLES and not any(read_name(n) for n in names if "," in n):
+    if company or not any(words) and (role in ROLES or role == re.sub(r"(?:corp|online|inc|co)$", "", label.split("-")[0])) or role in ROLES and not any(read_name(n) for n in names if "," in n):
         brand = re.sub(r"(?:corp|online|inc|co)$", "", label.split("-")[0]) or label
         line = ""
         for w in words:
             rest = [x for x in w if x != "the" and x not in LEGAL]
-            for k in range(1, len(rest)):
-                if rest[k] in COMPANY and len(rest[k]) > len(line):
-                    line = rest[k]
-                    break
+            first = next((x for x in rest[1:] if x in COMPANY), "")
+            line = first if len(first) > len(line) else line
         return {"org": brand, "line": line[:3]}
     views = [v for v in (read_name(n) for n in names) if v]
     families: list[str] = [v[0] for v in views]
@@ -197,7 +197,8 @@ def read_address(address: str, names: list[str]) -> dict | None:
         given = sorted(full[0])
     else:
         given = sorted({g + "*" for g in givens if g})[:1]
-    # a middle letter that is only the given name's own initial says nothing
+    if not families and not any(words):  # no person has such a local part (an acronym)
+        return {"org": re.sub(r"(?:corp|online|inc|co)$", "", label.split("-")[0]) or label, "line": ""}
     return {"families": list(dict.fromkeys(families)), "given": given, "middle": min(middle) if len(middle) == 1 else "", "agreed": len(views) > 0 and sure and ways[0][0] == views[0][0]}
 
 
@@ -362,7 +363,7 @@ def entity_keys(export: DataFrame, names_col: str = "display_names") -> DataFram
     labels = _component_labels(found.where("support < 2").select(F.col("probe").alias("a"), F.col("word").alias("b")))
     # a rarer spelling that stands beside the usual one at some address is that spelling wherever the given name agrees
     beside = views.join(support, "family").join(best.select("addr", F.col("family").alias("usual"), F.col("support").alias("most")), "addr")
-    beside = beside.where("family != usual AND support < most").select("family", F.explode("given").alias("g"), "usual", "most").where(~F.col("g").endswith("*"))
+    beside = beside.where(F.struct("support", "family") < F.struct("most", "usual")).select("family", F.explode("given").alias("g"), "usual", "most").where(~F.col("g").endswith("*"))
     spelt = beside.groupBy("family", "g").agg(F.max_by("usual", F.struct("most", "usual")).alias("usual"))
     again = best.join(persons.select("addr", F.explode("given").alias("g")), "addr").join(spelt, ["family", "g"]).groupBy("addr").agg(F.max("usual").alias("usual"))
     family = (
