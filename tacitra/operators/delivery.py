@@ -52,9 +52,10 @@ def keep_first(df: DataFrame, key: Column, time_col: str, tie_col: str, unique_t
     ``unique_ties`` states that the tie-break column has no repeated value; the exchange of whole rows that removes
     wholly repeated rows is then left out.
     """
-    surplus = surplus_rows(df, key, time_col, tie_col)
-    rest = df.withColumn("_key", key).join(surplus, tie_col, "left_anti")
+    surplus = surplus_rows(df, key, time_col, tie_col).select(F.col(f"`{tie_col}`").alias("_tie"))
+    # the row travels as one column, so none of its own names can clash
+    rest = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), key.alias("_key"), F.col(f"`{tie_col}`").alias("_tie")).join(surplus, "_tie", "left_anti")
     if not unique_ties:
         bare = rest.where(F.col("_key").isNull())
-        rest = rest.where(F.col("_key").isNotNull()).dropDuplicates([tie_col, "_key"]).unionByName(bare)
-    return rest.select([F.col(f"`{c}`") for c in df.columns])
+        rest = rest.where(F.col("_key").isNotNull()).dropDuplicates(["_tie", "_key"]).unionByName(bare)
+    return rest.select("_row.*")

@@ -57,7 +57,7 @@ LAYOUTS = [
     ("compact", rf"^(\d{{4}})(\d\d)(\d\d)T(\d\d)(\d\d)(\d\d){_ZONE}$", "$1|$2|$3|$4|$5|$6|||$7"),
     ("day_month", rf"^{_DAY}(\d{{1,2}})[ -]([A-Za-z]{{3,9}})[ -](\d{{4}}|\d\d) +{_TIME}{_ZONE}$", "$3|$2|$1|$4|$5|$6|$7|$8|$9"),
     ("month_day", rf"^{_DAY}([A-Za-z]{{3,9}}) +(\d{{1,2}}),? +(\d{{4}}),? +{_TIME}{_ZONE}$", "$3|$1|$2|$4|$5|$6|$7|$8|$9"),
-    ("year_last", rf"^{_DAY}([A-Za-z]{{3,9}}) +(\d{{1,2}}) +(\d\d?):(\d\d):(\d\d) +(\d{{4}}){_ZONE}$", "$6|$1|$2|$3|$4|$5|||$7"),
+    ("year_last", rf"^{_DAY}([A-Za-z]{{3,9}}) +(\d{{1,2}}) +(\d\d?):(\d\d):(\d\d)(?: +([A-Za-z]{{2,5}}|[+-]\d{{4}}))? +(\d{{4}}){_ZONE}$", "$7|$1|$2|$3|$4|$5|||$6$8"),
     ("dotted", rf"^(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}}|\d\d),? +{_TIME}{_ZONE}$", "$3|$2|$1|$4|$5|$6|$7|$8|$9"),
     ("slashed", rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}|\d\d),? +{_TIME}{_ZONE}$", "$3|$1|$2|$4|$5|$6|$7|$8|$9"),
 ]
@@ -188,21 +188,24 @@ def normalise_timestamps(
     """``df`` with utc_instant (TIMESTAMP), reading, posterior and status (see the module).
 
     ``zone_col`` holds the IANA name of the source's time zone, ``day_first_col`` its order of slashed dates; null
-    where it is not known, then EM decides from the source's own texts.
+    where it is not known, then EM decides from the source's own texts. Input columns named as a result are replaced.
     """
-    found = readings(df, text_col, zone_col)
+    # the row travels as one column, so none of its own names can clash
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    inner = df.select(row, *[F.col(f"`{c}`").alias(n) for c, n in ((text_col, "_in_text"), (source_col, "_in_source"), (zone_col, "_in_zone"), (day_first_col, "_in_first"))])
+    found = readings(inner, "_in_text", "_in_zone")
     # one candidate that needs no choice never enters EM; only layouts with readings do
     several = F.exists(F.col("_cands"), lambda c: c["reading"] != "")
     names = F.transform(F.col("_cands"), lambda c: c["reading"])
-    source = F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(""))
+    source = F.coalesce(F.col("_in_source").cast("string"), F.lit(""))
     found = found.withColumns({"_source": source, "_names": F.when(several, names)})
     # the first filter reads the text alone, so that pushing it down repeats no parsing; sets without a choice are left
     # out inside the fit for the same reason
-    open_text = F.col(f"`{text_col}`").rlike(r"^\s*\d+/\d+/") | F.upper(F.col(f"`{text_col}`")).rlike("(" + "|".join(_SHARED) + r")\W*$")
+    open_text = F.col("_in_text").rlike(r"^\s*\d+/\d+/") | F.upper("_in_text").rlike(r"\b(" + "|".join(_SHARED) + r")\b")
     sets = (
         found.where(open_text)
         .groupBy(F.col("_source").alias("source"), F.col("_layout").alias("layout"), F.col("_names").alias("readings"))
-        .agg(F.count(F.lit(1)).alias("n"), F.max(F.col(f"`{day_first_col}`")).alias("day_first"), F.max(F.col(f"`{zone_col}`")).alias("zone"))
+        .agg(F.count(F.lit(1)).alias("n"), F.max("_in_first").alias("day_first"), F.max("_in_zone").alias("zone"))
     )
     choice = "source string, layout string, readings array<string>, reading string, posterior double"
     chosen = sets.groupBy("source").applyInPandas(_em(prior_mass, rounds), choice)
@@ -224,8 +227,10 @@ def normalise_timestamps(
         .when(F.col("_reading").isNull(), "invalid")
         .otherwise("ambiguous")
     )
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    return out.select(*columns, utc.alias("utc_instant"), F.when(utc.isNotNull(), F.coalesce("_reading", F.lit(""))).alias("reading"), F.when(utc.isNotNull(), F.coalesce("_posterior", F.lit(1.0))).alias("posterior"), status.alias("status"))
+    columns = [F.col("_row").getField(c).alias(c) for c in df.columns if c not in ("utc_instant", "reading", "posterior", "status")]
+    return out.select(
+        *columns, utc.alias("utc_instant"), F.when(utc.isNotNull(), F.coalesce("_reading", F.lit(""))).alias("reading"), F.when(utc.isNotNull(), F.coalesce("_posterior", F.lit(1.0))).alias("posterior"), status.alias("status")
+    )
 
 
 def utc_text(instant: Column) -> Column:

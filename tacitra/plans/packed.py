@@ -31,6 +31,10 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p7_found": p7_found}
 
 SQL = {
+    "p1_found": r"""WITH f AS (SELECT row_id, 'to' AS field, "to" AS s FROM enron_emails UNION ALL SELECT row_id, 'cc', cc FROM enron_emails),
+        a AS (SELECT row_id, field, list_transform(regexp_extract_all(s, '[^\s<>()",;|/:]+@[^\s<>()",;|/:]+'), lambda x: lower(CASE WHEN length(x) > 2 AND x[1] = chr(39) AND x[-1] = chr(39) THEN x[2:-2] ELSE x END)) AS v FROM f WHERE contains(s, '@')),
+        n AS (SELECT row_id, field, list_filter(list_transform(regexp_split_to_array(s, '[;|\n\t\r]'), lambda x: trim(x, ' "')), lambda x: trim(x, ' ,') <> '') AS v FROM f WHERE NOT contains(s, '@'))
+        SELECT row_id, field, CAST(generate_subscripts(v, 1) AS INT) AS pos, unnest(v) AS value FROM (SELECT * FROM a UNION ALL SELECT * FROM n)""",
     "p2_found": r"""WITH k AS (SELECT row_id, received_at, regexp_replace(message_id, '^[\s<>]+|[\s<>]+$', '', 'g') AS m FROM enron_emails),
         q AS (SELECT row_id, received_at, CASE WHEN m = '' THEN NULL WHEN contains(m, '@') THEN regexp_replace(m, '@[^@]*$', '') || '@' || lower(regexp_extract(m, '@([^@]*)$', 1)) ELSE m END AS k FROM k)
         SELECT row_id FROM (SELECT row_id, row_number() OVER (PARTITION BY k ORDER BY received_at, row_id) AS rk FROM q WHERE k IS NOT NULL) WHERE rk > 1""",

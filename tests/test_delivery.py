@@ -31,6 +31,7 @@ def test_surplus_and_kept(spark):
     kept = keep_first(df, key, "received_at", "row_id")
     assert kept.columns == df.columns
     assert sorted(r.row_id for r in kept.collect()) == [2, 4, 5, 6, 7, 9, 10]
+    assert {r.row_id: r["_key"] for r in kept.collect()}[2] == "first"
 
 
 def test_repeated_and_empty(spark):

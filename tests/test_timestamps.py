@@ -26,6 +26,8 @@ CASES = [
     (CH, "1999-01-06 02:02:22.549242-06:00", "1999-01-06 08:02:22.549242"),
     (CH, "1999-01-07T07:40:53,963", "1999-01-07 13:40:53.963000"),
     (CH, "Sun Jan 10 08:26:07 1999", "1999-01-10 14:26:07.000000"),
+    (CH, "Sun Jan 10 08:26:07 CST 1999", "1999-01-10 14:26:07.000000"),
+    (CH, "Sun Jan 10 08:26:07 +0100 1999", "1999-01-10 07:26:07.000000"),
     (CH, "Mon Jan  4 21:57:53 1999", "1999-01-05 03:57:53.000000"),
     (CH, "January 20, 1999 1:35:46 AM EST", "1999-01-20 06:35:46.000000"),
     (KO, "January 17, 1999 5:22:52 AM +05:30", "1999-01-16 23:52:52.000000"),
@@ -53,7 +55,7 @@ CASES = [
 @pytest.fixture(scope="module")
 def done(spark):
     rows = [(i, t, *s, "clash") for i, (s, t, _) in enumerate(CASES)]
-    df = spark.createDataFrame(rows, "id int, date string, site string, zone string, day_first boolean, _cands string").drop("_cands")
+    df = spark.createDataFrame(rows, "id int, date string, site string, zone string, day_first boolean, _cands string").withColumn("status", F.lit("old"))
     out = normalise_timestamps(df, "date", "site", "zone", "day_first")
     return {r.id: r for r in out.withColumn("text", utc_text(F.col("utc_instant"))).collect()}
 
@@ -63,6 +65,10 @@ def test_case(done, i):
     assert done[i].text == CASES[i][2], (CASES[i], done[i])
 
 
+def test_clashing_names(done):
+    assert all(r["_cands"] == "clash" and r.status != "old" for r in done.values())
+
+
 def test_status(done):
     kinds = {CASES[i][1]: r.status for i, r in done.items()}
     assert kinds["yesterday"] == "invalid" and kinds["31/31/2001 10:00"] == "invalid" and kinds[None] == "invalid"
