@@ -52,4 +52,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only what SQL expresses; the others are tested against brute force, libraries and round trips."""
+    grams = "SELECT DISTINCT {key}, array_to_string(w[i:i + 9], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - 8)) AS i FROM ({words}))"
+    words = "SELECT {key}, regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table} WHERE {text} IS NOT NULL"
+    docs = grams.format(key="doc_id", words=words.format(key="doc_id", text="text", table="documents"))
+    items = [grams.format(key="item_id", words=words.format(key="item_id", text=t, table="eval_items")) for t in ("passage", "question")]
+    return {"p9_found": f"SELECT DISTINCT doc_id, item_id FROM ({docs}) JOIN ({items[0]} UNION {items[1]}) USING (g)"}
