@@ -6,7 +6,7 @@ measure from the same automaton is the share of the page that one repeated phras
 alone does not make spam (minutes and manuals repeat themselves too), so it counts only in units without clause
 structure: a unit is a line or sentence, and it has clause structure if it ends like a sentence, has a sentence's length
 and holds function words or few repetitions. Words of links, captions of links, hashtags and lists of product tags
-count by themselves; lines that open with a time are log entries and never count.
+count by themselves; lines that open with a time (log entries), mail headers and addresses never count.
 
 Defined results
 * a page is spam if more than half of its words are counted so; null, empty, blank and wordless texts are not;
@@ -41,7 +41,7 @@ _LINK = re.compile(
     re.IGNORECASE | re.DOTALL,
 )
 _BREAK = re.compile(r"(?<=[.!?])\s+|\n+|(?:;|\s[|•·/»])\s")
-_LOGGED = re.compile(r"\s*[\[(]?(?:\d{4}-\d\d-\d\d|\d{1,2}/\d{1,2}/\d{2,4}|\d{1,2}:\d\d)")
+_LOGGED = re.compile(r"\s*(?:[\[(]?(?:\d{4}-\d\d-\d\d|\d{1,2}/\d{1,2}/\d{2,4}|\d{1,2}:\d\d)|(?:Subject|From|To|Cc|Sent|Date):\s|[\w.'+-]+@[\w.-]+\s*$)")
 _PRODUCT = re.compile(r"\s*[#*•-]?\s*[A-Z]{2,5}[-_]?\d+\b(?![^\n]*[.?!]\s*$)")
 
 
