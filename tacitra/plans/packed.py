@@ -30,7 +30,42 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p7_found": p7_found}
 
+_T = r"(\d{1,2}):(\d\d)(?::(\d\d)(?:[.,](\d{1,9}))?)?(?: *([AaPp])[Mm]\b)?"
+_Z = r"(?: *([Zz]|[+-]\d\d(?::?\d\d)?|[A-Za-z]{2,5}|[A-Za-z]+/[A-Za-z_/+-]+))?(?: *\([^)]*\))?"
+_D = r"(?:[A-Za-z]{3,9},? +)?"
+_LAYOUTS = [
+    ("iso", rf"(\d{{4}})-(\d\d)-(\d\d)[T ]+{_T}{_Z}", "y m d h i s f p z"),
+    ("compact", rf"(\d{{4}})(\d\d)(\d\d)T(\d\d)(\d\d)(\d\d){_Z}", "y m d h i s z"),
+    ("words", rf"{_D}(\d{{1,2}})[ -]([A-Za-z]{{3,9}})[ -](\d{{4}}|\d\d) +{_T}{_Z}", "d m y h i s f p z"),
+    ("words", rf"{_D}([A-Za-z]{{3,9}}) +(\d{{1,2}}),? +(\d{{4}}),? +{_T}{_Z}", "m d y h i s f p z"),
+    ("words", rf"{_D}([A-Za-z]{{3,9}}) +(\d{{1,2}}) +(\d\d?):(\d\d):(\d\d) +(\d{{4}}){_Z}", "m d h i s y z"),
+    ("dotted", rf"(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}}|\d\d),? +{_T}{_Z}", "d m y h i s f p z"),
+    ("slashed", rf"(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}|\d\d),? +{_T}{_Z}", "m d y h i s f p z"),
+]
+
+
+def _sql_layout(kind: str, pattern: str, groups: str) -> str:
+    names = ", ".join(f"'{g}'" for g in groups.split())
+    columns = ", ".join(f"g.{c}" if c in groups.split() else f"'' AS {c}" for c in "ymdhisfpz")
+    return f"SELECT row_id, tz, df, '{kind}' AS kind, {columns} FROM (SELECT row_id, tz, df, regexp_extract(t, '^{pattern}$', [{names}]) AS g FROM b WHERE regexp_full_match(t, '{pattern}'))"
+
+
+_P7 = r"""WITH b AS (SELECT row_id, regexp_replace(date, '^\s+|\s+$', '', 'g') AS t, time_zone AS tz, day_first AS df FROM enron_emails LEFT JOIN mail_sites USING (site)),
+    n AS (SELECT row_id, CASE WHEN k < 100000000000 THEN k * 1000000 WHEN k < 100000000000000 THEN k * 1000 ELSE k END AS us FROM (SELECT row_id, CAST(t AS BIGINT) AS k FROM b WHERE regexp_full_match(t, '[0-9]{1,17}'))),
+    r AS (LAYOUTS),
+    q AS (SELECT row_id, tz, z, kind, CAST(y AS INT) + CASE WHEN length(y) > 2 THEN 0 WHEN CAST(y AS INT) >= 90 THEN 1900 ELSE 2000 END AS y,
+        CASE WHEN kind = 'words' THEN list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], lower(m[1:3])) WHEN kind = 'slashed' AND df THEN CAST(d AS INT) ELSE CAST(m AS INT) END AS m,
+        CASE WHEN kind = 'slashed' AND df THEN CAST(m AS INT) ELSE CAST(d AS INT) END AS d, CASE WHEN p = '' THEN CAST(h AS INT) WHEN lower(p) = 'p' THEN CAST(h AS INT) % 12 + 12 ELSE CAST(h AS INT) % 12 END AS h,
+        CAST(i AS INT) AS i, CASE WHEN s = '' THEN 0 ELSE CAST(s AS INT) END AS s, CAST(rpad(f, 6, '0')[1:6] AS INT) AS f FROM r),
+    l AS (SELECT *, TRY(make_timestamp(y, m, d, h, i, s + f / 1000000.0)) AS w, CASE WHEN z = '' THEN tz WHEN contains(z, '/') THEN z END AS zone, CASE WHEN upper(z) IN ('Z', 'UT', 'UTC', 'GMT') THEN 0
+        WHEN z[1] IN ('+', '-') THEN (CASE z[1] WHEN '-' THEN -1 ELSE 1 END) * (CAST(z[2:3] AS INT) * 60 + CASE WHEN length(z) > 3 THEN CAST(z[-2:] AS INT) ELSE 0 END)
+        ELSE CASE upper(z) WHEN 'EST' THEN -300 WHEN 'EDT' THEN -240 WHEN 'CST' THEN -360 WHEN 'CDT' THEN -300 WHEN 'MST' THEN -420 WHEN 'MDT' THEN -360 WHEN 'PST' THEN -480 WHEN 'PDT' THEN -420 WHEN 'BST' THEN 60 WHEN 'IST' THEN 330 END END AS off FROM q),
+    u AS (SELECT row_id, w, zone, CASE WHEN off IS NOT NULL THEN epoch_us(w) - CAST(off AS BIGINT) * 60000000 ELSE epoch_us(timezone(zone, w)) END AS us, off FROM l WHERE w IS NOT NULL),
+    v AS (SELECT row_id, CASE WHEN off IS NULL AND timezone(zone, make_timestamptz(us - 3600000000)) = w THEN us - 3600000000 ELSE us END AS us FROM u UNION ALL SELECT * FROM n)
+    SELECT row_id, strftime(make_timestamp(us), '%Y-%m-%d %H:%M:%S.%f') AS utc FROM v WHERE us IS NOT NULL""".replace("LAYOUTS", " UNION ALL ".join(_sql_layout(*x) for x in _LAYOUTS))
+
 SQL = {
+    "p7_found": _P7,
     "p1_found": r"""WITH f AS (SELECT row_id, 'to' AS field, "to" AS s FROM enron_emails UNION ALL SELECT row_id, 'cc', cc FROM enron_emails),
         a AS (SELECT row_id, field, list_transform(regexp_extract_all(s, '[^\s<>()",;|/:]+@[^\s<>()",;|/:]+'), lambda x: lower(CASE WHEN length(x) > 2 AND x[1] = chr(39) AND x[-1] = chr(39) THEN x[2:-2] ELSE x END)) AS v FROM f WHERE contains(s, '@')),
         n AS (SELECT row_id, field, list_filter(list_transform(regexp_split_to_array(s, '[;|\n\t\r]'), lambda x: trim(x, ' "')), lambda x: trim(x, ' ,') <> '') AS v FROM f WHERE NOT contains(s, '@'))
