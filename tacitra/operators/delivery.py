@@ -8,6 +8,7 @@ Defined results
 * ties on the delivery time are decided by the tie-break column; a null delivery time comes last;
 * wholly repeated rows (same identifier, time and tie-break) count as one row: ``keep_first`` keeps one of them,
   ``surplus_rows`` lists none of them;
+* a row whose tie-break is null is never listed as surplus and always kept;
 * extra columns are carried by ``keep_first``; an empty table gives an empty result.
 """
 
@@ -43,7 +44,7 @@ def surplus_rows(df: DataFrame, key: Column, time_col: str, tie_col: str) -> Dat
     """
     keyed = _keyed(df, key, time_col, tie_col)
     kept = _kept(keyed).select(F.col("_kept").alias("_tie"))
-    return keyed.where(F.col("_key").isNotNull()).select("_tie").join(kept, "_tie", "left_anti").select(F.col("_tie").alias(tie_col)).distinct()
+    return keyed.where(F.col("_key").isNotNull() & F.col("_tie").isNotNull()).select("_tie").join(kept, "_tie", "left_anti").select(F.col("_tie").alias(tie_col)).distinct()
 
 
 def keep_first(df: DataFrame, key: Column, time_col: str, tie_col: str, unique_ties: bool = False) -> DataFrame:
@@ -56,6 +57,7 @@ def keep_first(df: DataFrame, key: Column, time_col: str, tie_col: str, unique_t
     # the row travels as one column, so none of its own names can clash
     rest = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), key.alias("_key"), F.col(f"`{tie_col}`").alias("_tie")).join(surplus, "_tie", "left_anti")
     if not unique_ties:
-        bare = rest.where(F.col("_key").isNull())
-        rest = rest.where(F.col("_key").isNotNull()).dropDuplicates(["_tie", "_key"]).unionByName(bare)
+        free = F.col("_key").isNull() | F.col("_tie").isNull()
+        bare = rest.where(free)
+        rest = rest.where(~free).dropDuplicates(["_tie", "_key"]).unionByName(bare)
     return rest.select("_row.*")

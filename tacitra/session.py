@@ -30,7 +30,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
-    shared = sc.getConf().get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "tacitra-checkpoints"))
 
 

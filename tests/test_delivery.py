@@ -43,6 +43,13 @@ def test_repeated_and_empty(spark):
     assert surplus_rows(empty, key, "received_at", "row_id").count() == 0 and keep_first(empty, key, "received_at", "row_id").count() == 0
 
 
+def test_null_row_ids(spark):
+    key = message_key(F.col("message_id"))
+    df = frame(spark, [(None, T[0], "a@x", ""), (None, T[1], "a@x", ""), (1, T[2], "a@x", "")])
+    assert [r[0] for r in surplus_rows(df, key, "received_at", "row_id").collect()] == [1]
+    assert [r.row_id for r in keep_first(df, key, "received_at", "row_id").collect()] == [None, None]
+
+
 def test_hot_identifier(spark):
     df = spark.range(5000).select(F.col("id").alias("row_id"), F.timestamp_seconds(F.lit(5000) - F.col("id")).alias("received_at"), F.when(F.col("id") % 3 == 0, "hot@x").otherwise(F.concat(F.col("id").cast("string"), F.lit("@x"))).alias("message_id"))
     assert surplus_rows(df, message_key(F.col("message_id")), "received_at", "row_id").count() == 1666
