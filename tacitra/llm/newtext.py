@@ -35,7 +35,7 @@ _AFTER_FROM = re.compile(r"\s*(?:Sent|Date|To|Cc|Gesendet|An|Para|Subject|Envoy\
 _NOTES_NAME = re.compile(r"\s*[^\d@<>,;:]{3,60}@[A-Z]{2,}\s*$")
 _STAMP = re.compile(r"\s*\d{1,2}/\d{1,2}/\d{2,4} +\d{1,2}:\d\d")
 _ATTRIBUTION = re.compile(
-    r"\s*(?:(?:On|At|Le|Am|El|Il|Em)\s.{6,160}\b(?:wrote|writes|schrieb\b.*|a .{1,8}crit|escribi\S+|ha scritto|escreveu)\s*:"
+    r"\s*(?:(?:On|At|Le|Am|El|Il|Em)\s(?=.*\d).{6,160}\b(?:wrote|writes|schrieb\b.*|a .{1,8}crit|escribi\S+|ha scritto|escreveu)\s*:"
     r"|In a message dated .+ writes:|.{2,80} wrote on .{6,40}:|-{2,3} .{2,80} wrote:|Am \d.*\bschrieb .*:|Le \d.*:)\s*$",
     _FLAGS,
 )
@@ -43,11 +43,10 @@ _ATTRIBUTION_START = re.compile(r"\s*(?:On|At|Le|Am|In a message dated)\b.*\d{1,
 _ATTRIBUTION_END = re.compile(r".*(?:wrote|writes|crit ?|schrieb.*)\s*:\s*$", _FLAGS)
 _RULE = re.compile(r"\s*(?:([-_*=~#+])\1+|(?:[-_*=~#+] ?){4,})\s*$")
 _CLOSING = re.compile(
-    r"\s*(?:(?:(?:kind|best|warm|with|many)\s+)?regards|(?:many |with )?thanks(?: again| in advance)?|thank you|thx|cheers|sincerely|(?:yours|best|respectfully)(?: truly| sincerely| faithfully)?|all the best|take care|saludos(?: cordiales)?|cordialement|(?:mit )?(?:freundlichen|besten|viele) gr\S{1,6}en?|mfg|gru\S{1,3}|atentamente|atenciosamente|abra\S{1,3}os?|rgds|ciao)"
-    r"\s*[,.!-]*\s*(?:(?:[A-ZÀ-Þ][\w.'’´`-]*|[^\x00-\x7f][\w.'’-]*)[ ,.]*){0,4}\s*$",
-    _FLAGS,
+    r"\s*(?i:(?:(?:kind|best|warm|with|many)\s+)?regards|(?:many |with )?thanks(?: again| in advance)?|thank you|thx|cheers|sincerely|(?:yours|best|respectfully)(?: truly| sincerely| faithfully)?|all the best|take care|saludos(?: cordiales)?|cordialement|(?:mit )?(?:freundlichen|besten|viele) gr\S{1,6}en?|mfg|gru\S{1,3}|atentamente|atenciosamente|abra\S{1,3}os?|rgds|ciao)"
+    r"\s*[,.!-]*\s*(?:(?:[A-ZÀ-Þ][\w.'’´`-]*|[^\x00-\x7f][^\s]*)[ ,.]*){0,7}\s*$"
 )
-_DEVICE = re.compile(r"\s*(?:-{1,3}\s*)?(?:sent|get|gesendet|envoy\S{1,4}|enviado)\s+(?:from|via|by|using|von|depuis|desde)\b[^.,]{3,50}$", _FLAGS)
+_DEVICE = re.compile(r"\s*(?:-{1,3}\s*)?(?:sent|get|gesendet|envoy\S{1,4}|enviado)\s+(?:from|via|by|using|von|depuis|desde)\b(?=.*\b(?:my|mail|pager|phone|i?phone|handheld|wireless|mobile|device|blackberry|tablet|outlook|mein\w*|mon|mi)\b)[^.,]{3,50}$", _FLAGS)
 _NOTICE = re.compile(
     r"\W*(?:notice:|confidential(?:ity notice)?:|disclaimer:|legal notice|this (?:e-?mail|message|mail|communication|transmission)\b|the (?:content|information)s? (?:of|in|contained)\b|information in this\b|diese (?:nachricht|e-?mail)|ce (?:message|courriel)|este (?:mensaje|correo)|esta mensagem|if you (?:are not|have received|received)|please destroy all copies|any (?:copying|use|review)|unauthori[sz]ed)",
     _FLAGS,
@@ -93,6 +92,12 @@ _START = (0.0, -1.0, -1.5, -3.0)
 STEPS = ((0.0, -1.0, -0.5, -1.0), (0.0, 0.5, -0.5, -1.0), (-6.0, -0.5, 0.5, 0.0), (-9.0, -0.5, -3.0, 3.0))
 
 
+def _inside_sentence(body: list[str], i: int) -> bool:
+    """Whether a sign at a line's head only happens to stand there: a lone line that goes on with the one before it."""
+    above, below = body[i - 1] if i else "", body[i + 1] if i + 1 < len(body) else ""
+    return bool(above) and above[0] not in ">|:" and above[-1].isalnum() and below[:1] not in (">", "|")
+
+
 def _cues(lines: list[str], body: list[str]) -> list[tuple[str, ...]]:
     """The cues of every line that is not blank; ``lines`` are all lines, ``body`` the same without white space at the ends."""
     n = len(lines)
@@ -109,6 +114,9 @@ def _cues(lines: list[str], body: list[str]) -> list[tuple[str, ...]]:
             out[i] = ("history",)
             continue
         first = t[0]
+        if first in ">|" and _inside_sentence(body, i):
+            out[i] = ("sentence",)
+            continue
         if first in ">|" or first == ":" and (len(t) == 1 or t[1] == " "):
             out[i], quoting, after = ("prefixed",), False, 0
             continue
@@ -152,7 +160,7 @@ def _cues(lines: list[str], body: list[str]) -> list[tuple[str, ...]]:
             cues.append("rule")
         elif t in _NOT_INITIALS:
             cues.append("sentence")
-        elif len(t) < 60 and _CLOSING.match(t):
+        elif len(t) < 80 and _CLOSING.match(t):
             cues.append("closing")
         elif (first.isupper() or not first.isalnum()) and _NOTICE.match(t) and len({x.lower() for x in _LEGAL.findall(" ".join(body[i : i + 6]))}) >= 2:
             cues.append("notice")

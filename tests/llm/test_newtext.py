@@ -36,6 +36,14 @@ def test_signatures_and_notices():
     assert kinds("Каждый склад проверил договор.\nНовая строка без точки\nв конце.") == "nnn"
 
 
+def test_look_alikes():
+    assert kinds("There is room. Anything\n> 38059 contracts goes to settlements first. Can you approve\nit?") == "nnn"
+    assert kinds("On the board update someone wrote:\ndo not forward it.") == "nn"
+    assert kinds("Please check it.\nRegards to all at the\nplant from the credit group.") == "nnn"
+    assert kinds("Sent from the\nLowfen meter it came late.") == "nn"
+    assert kinds("It is done.\nThank you, Jürgen") == "ns" and kinds("It is done.\nThanks for the update") == "nn"
+
+
 def test_edges():
     assert label_lines("") == [0] and label_lines("\n\n") == [0, 0, 0] and new_text(None) is None
     assert kinds("Hi Bob,\r\nDone.\r\n\r\n> old\r\n") == "nn q "
