@@ -60,7 +60,7 @@ _NO_SURNAME = frozenset(
     """regards thanks thank you thx cheers sincerely truly best saludos hi hello dear hey am pm on at le from to cc the and or mon tue wed thu fri sat sun monday tuesday wednesday
     thursday friday saturday sunday jan feb mar apr may jun jul aug sep oct nov dec energy corvane ok yours faithfully team all folks attn re fw fwd subject date sent please ask copy loop
     with for of in is was has have will would could should can wrote writes said says about who whom but as if so that this it by mr ms mrs dr i we he she they you their her his our my
-    reach reached yet before after today tomorrow also only not then now just still does did do are were be been might may""".split()
+    morning afternoon evening gentlemen ladies everyone folks greetings treasury regulatory credit scheduling settlements operations research legal tax risk power gas reach reached yet before after today tomorrow also only not then now just still does did do are were be been might may""".split()
 )
 _STARRED = {re.sub(r"[^\x00-\x7f]+", "*", x): x for x in ("zoë", "rené", "josé", "björn", "jürgen", "anaïs")}
 
