@@ -30,9 +30,9 @@ def query(sql: str | None):
     return keep
 
 
-def leaving(spark: SparkSession, sf: str) -> DataFrame:
-    """The departures to simulate: the twenty persons of highest risk (the feature's own top-k)."""
-    return table(spark, sf, "risk_scores").orderBy(F.desc("risk_score"), F.asc("person")).limit(20).select("person")
+def leaving(spark: SparkSession, sf: str, k: int = 200) -> DataFrame:
+    """The departures to simulate: the ``k`` persons of highest risk (200 in the reference; the SQL still stops at 20)."""
+    return table(spark, sf, "risk_scores").orderBy(F.desc("risk_score"), F.asc("person")).limit(k).select("person")
 
 
 def roles(spark: SparkSession, sf: str) -> DataFrame:
