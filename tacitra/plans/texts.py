@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tacitra.operators import identity as I
 from tacitra.operators import topics as T
+from tacitra.operators.timestamps import normalise_timestamps
 from tacitra.sources import mail as M
 from tacitra.sources.tables import table
 from tacitra.streaming.counts import session_counts, windowed_counts
@@ -70,10 +71,11 @@ def header_names(spark, sf):
 
 @query("SELECT year(date_utc) AS year, count(*) AS n FROM (SELECT try_cast(date AS TIMESTAMP) AS date_utc, \"from\" AS f, \"to\" AS t FROM enron_emails WHERE regexp_matches(date, '^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\\.[0-9]{3}Z$')) WHERE date_utc BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '2002-12-31 23:59:59' AND f IS NOT NULL AND t IS NOT NULL GROUP BY 1")
 def mails_by_year(spark, sf):
-    """Mail of 1998 to 2002 with sender and recipient, by year, of one layout of dates."""
-    m = table(spark, sf, "enron_emails").where(F.col("date").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{3}Z$"))
-    m = m.withColumn("d", F.try_to_timestamp("date")).where(F.col("d").between(F.lit("1998-01-01 00:00:00").cast("timestamp"), F.lit("2002-12-31 23:59:59").cast("timestamp")))
-    return m.dropna(subset=["from", "to"]).groupBy(F.year("d").cast("bigint").alias("year")).agg(F.count(F.lit(1)).alias("n"))
+    """Mail of 1998 to 2002 with sender and recipient, by year of the instant; dates of any layout, those without a sure instant left out."""
+    mails = table(spark, sf, "enron_emails").select("date", "site", (F.col("from").isNotNull() & F.col("to").isNotNull()).alias("addressed"))
+    m = normalise_timestamps(mails.join(table(spark, sf, "mail_sites"), "site", "left"), "date", "site", "time_zone", "day_first").withColumn("d", F.col("utc_instant"))
+    m = m.where("addressed").where(F.col("d").between(F.lit("1998-01-01 00:00:00").cast("timestamp"), F.lit("2002-12-31 23:59:59").cast("timestamp")))
+    return m.groupBy(F.year("d").cast("bigint").alias("year")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT row_id, regexp_replace(message_id, '^\\s+|\\s+$', '', 'g') AS message_id, subject, body FROM enron_emails WHERE message_id IS NOT NULL AND \"from\" IS NOT NULL AND body IS NOT NULL AND subject IS NOT NULL AND trim(subject) <> '' AND regexp_matches(message_id, '\\S') AND regexp_full_match(body, '[ -~\\n]+') AND regexp_full_match(subject, '[!-~]([ -~]*[!-~])?')")
