@@ -75,13 +75,13 @@ def neighbour_tiers(spark, sf):
     SELECT person, min(seen) AS component FROM r GROUP BY person"""
 )
 def components(spark, sf):
-    """Components of the graph of strong edges."""
-    return G.components(edges(spark, sf).where("weight >= 20"))
+    """Components of the whole graph."""
+    return G.components(edges(spark, sf))
 
 
 @query(None)
 def component_delta(spark, sf):
-    return G.component_delta(edges(spark, sf).where("weight >= 20"))
+    return G.component_delta(edges(spark, sf))
 
 
 @query(None)
