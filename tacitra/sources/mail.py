@@ -20,6 +20,9 @@ def _addresses(values: list[str] | None) -> str | None:
 
 
 def _part(part) -> str:
+    text = part.get_payload()
+    if isinstance(text, str) and not text.isascii() and str(part.get("Content-Transfer-Encoding", "")).strip().lower() in ("", "7bit", "8bit", "binary"):
+        return text  # decoded already; the parser would escape it
     raw = part.get_payload(decode=True)
     if raw is None:
         return part.get_payload() if isinstance(part.get_payload(), str) else ""
@@ -65,6 +68,13 @@ def parse_mail(raw: DataFrame) -> DataFrame:
     return raw.select("file", "message").mapInPandas(run, SCHEMA)
 
 
+def raw_message(message_id: Column, date: Column, sender: Column, to: Column, cc: Column, subject: Column, body: Column) -> Column:
+    """The raw message of a mail: a header for each field that is not null, its line breaks made one space, and the body as it is."""
+    fields = [("Message-ID", message_id), ("Date", date), ("From", sender), ("To", to), ("Cc", cc), ("Subject", subject)]
+    lines = [F.coalesce(F.concat(F.lit(f"{name}: "), F.regexp_replace(value, r"[ \t]*[\r\n][ \t\r\n]*", " "), F.lit("\n")), F.lit("")) for name, value in fields]
+    return F.concat(*lines, F.lit("\n"), F.coalesce(body, F.lit("")))
+
+
 def header(message: Column, name: str) -> Column:
     """The first line of a header by pattern alone, null where there is none."""
     return F.nullif(F.trim(F.regexp_extract(message, rf"(?im)^{name}:[ \t]*([^\r\n]+)", 1)), F.lit(""))
