@@ -3,8 +3,10 @@
 Found are mail addresses (also spelled out), phone numbers, identity numbers, street and box addresses and names of
 persons. Each is replaced either by a typed placeholder or by a surrogate. Surrogates come from keyed bijections, so
 different originals get different replacements without any shared table, and the same original gets the same one
-everywhere: given names are permuted within their gender, other letters are substituted within vowels and consonants
-of their script and case, digits by a keyed permutation of their place. A check per text confirms that no two originals
+everywhere: given names are permuted within their gender, their short forms become short forms of the surrogate of the
+full name (made up where it has too few), other letters are substituted within vowels and consonants of their script
+and case, digits by a keyed permutation of their place. Of an address only street types, words such as Suite or Box and
+state codes stay. A check per text confirms that no two originals
 of it share a surrogate and that none equals another original; otherwise that text's key is advanced.
 
 Defined results
@@ -47,6 +49,9 @@ _STREET = "Lane|Ln|Avenue|Ave|Street|St|Road|Rd|Boulevard|Blvd|Drive|Dr|Court|Ct
 _PLACE = r"(?:[A-Z][\w'’]+(?: [A-Z][a-z'’]+)?)"
 _TOWN = rf"(?:,? {_PLACE},? [A-Z]{{2}} \d{{5}}(?:-\d{{4}})?|, {_PLACE}(?=[ ,.;\r\n]|$)(?!@))?"
 _ADDRESS = re.compile(rf"(?<![\w,.$-])\d{{1,5}}[A-Z]? (?:[A-Z][\w'’]+ ){{1,3}}(?:{_STREET})\b\.?(?:,? (?:Suite|Ste\.?|Apt\.?|Unit|Floor) \w+| #\w+)?{_TOWN}")
+_STREET_PARTS = re.compile(rf"(?P<flat>(?:Flat|Apartment|Unit) )?(?P<door>(?(flat)\w+, ))(?P<number>\d{{1,5}}[A-Z]?) (?P<street>(?:[A-Z][\w'’]+ ){{1,3}})(?P<type>(?:{_STREET})\b\.?(?:,? (?:Suite|Ste\.?|Apt\.?|Unit|Floor) (?=\w)| #(?=\w))?)")
+_BOX_PARTS = re.compile(r"(?:P\. ?O\. ?|PO )Box ")
+_STATE = re.compile(r"[A-Z]{2}(?= \d{5})")
 _FLAT = re.compile(r"(?:Flat|Apartment|Unit) \w+, $")
 _BOX = re.compile(rf"\b(?:P\. ?O\. ?|PO )Box \d+{_TOWN}")
 _ID_WORDS = ("ssn", "s.s.n", "secur", "soc.", "sin", "ni ", "ni\n", "ni:", "national", "licen", "passport", "employee", "staff", "personnel", "badge", "insurance", "policy", "tax id", "nhs", "id")
@@ -242,8 +247,27 @@ class Surrogates:
             shuffled = _shuffled(group, key + gender.encode())
             for i, g in enumerate(shuffled):  # a cycle: nobody keeps the own name
                 self.given[g] = shuffled[(i + 1) % len(shuffled)]
+        self.short = self._shorts()
         self.tables: dict[int, dict[str, str]] = {}
 
+    def _shorts(self) -> dict[str, str]:
+        """A short form of the full name's surrogate for each short form, no two alike."""
+        forms: dict[str, list[str]] = {}
+        for short, full in SHORT.items():
+            if short not in GIVEN:
+                forms.setdefault(full, []).append(short)
+        out, used = {}, {*GIVEN, *SHORT}
+        for full, shorts in forms.items():
+            to = self.given[full]
+            more = (to[:n] + end for n in range(3, len(to) + 1) for end in ("y", "ie", "o", "a", "u"))
+            known = list(forms.get(to, []))
+            while len(known) < len(shorts):
+                made = next(x for x in more if x not in used)
+                used.add(made)
+                known.append(made)
+            out |= dict(zip(shorts, known))
+        return out
+
     def _table(self, place: int) -> dict[str, str]:
         if place not in self.tables:
             table = {}
@@ -264,11 +288,23 @@ class Surrogates:
 
     def word(self, word: str) -> str:
         given = _given(word)
-        if given in GIVEN:
-            to = self.given[given]
+        if given is not None:
+            to = self.given[given] if given in GIVEN else self.short[given]
             return to.upper() if word.isupper() and len(word) > 1 else to.capitalize() if word[0].isupper() else to
         return self.letters(word)
 
+    def address(self, value: str) -> str:
+        """Numbers, street, town and unit substituted; types of street, suite and box words and state codes kept."""
+
+        def words(text: str) -> str:
+            return re.sub(r"\w+", lambda m: m[0] if _STATE.match(text, m.start()) and m.end() - m.start() == 2 else self.letters(m[0]), text)
+
+        if m := _STREET_PARTS.match(value):
+            return "".join([m["flat"] or "", words(m["door"]), self.letters(m["number"]), " ", words(m["street"]), m["type"], words(value[m.end() :])])
+        if m := _BOX_PARTS.match(value):
+            return m[0] + words(value[m.end() :])
+        return words(value)
+
     def replace(self, value: str, kind: str) -> str:
         if kind == "name":
             return _TOKEN.sub(lambda m: self.word(m[0]), value)
@@ -277,7 +313,7 @@ class Surrogates:
             local, rest = (value[: cut.start()], value[cut.start() :]) if cut else (value, "")
             return re.sub(r"[^\W_]+", lambda m: self.word(m[0]), local) + rest  # the domain names the organisation
         if kind == "address":
-            return re.sub(r"\d+", lambda m: self.letters(m[0]), value)
+            return self.address(value)
         return self.letters(value)
 
 
