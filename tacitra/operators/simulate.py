@@ -12,17 +12,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tacitra.operators.dims import RAMP
-from tacitra.operators.expertise import bandwidth, request_schedule, top_k
+from tacitra.operators.expertise import bandwidth, inferred_profile, request_schedule, top_k
 from tacitra.operators.graph import neighbour_tiers, symmetric
 
 LOG = "departed string, month int, topic int, seq int, step int, quality string, agent string, base_ratio double, readiness double, ramp double, ratio double, upgraded boolean, n_requests int"
 _PENALTY = {1: 1.0, 2: 0.7}
 
 
+def departed_profile(departed: DataFrame, profile: DataFrame, edges: DataFrame) -> DataFrame:
+    """(person, topic, cnt, score) of the departed; who has no profile of the own gets the one inferred from the neighbours."""
+    who = departed.select("person")
+    own = profile.join(who, "person", "left_semi").select("person", "topic", "cnt", "score")
+    near = symmetric(edges).join(who.join(own.select("person").distinct(), "person", "left_anti"), "person", "left_semi").select("person", F.col("partner").alias("neighbour"))
+    return own.unionByName(inferred_profile(near, profile).where("score IS NOT NULL"))
+
+
 def readiness(departed: DataFrame, profile: DataFrame, edges: DataFrame, roles: DataFrame) -> DataFrame:
     """(departed, topic, cand, score, readiness): .4 score + .3 shared topics + .3 closeness; other roles at most .15."""
     dep = departed.select(F.col("person").alias("departed"))
-    own = dep.join(profile.select(F.col("person").alias("departed"), "topic", F.col("score").alias("dep_score"), F.col("cnt").alias("dep_cnt")), "departed")
+    own = departed_profile(departed, profile, edges).toDF("departed", "topic", "dep_cnt", "dep_score")
     pairs = own.join(profile.select(F.col("person").alias("cand"), "topic", "score"), "topic").where("cand != departed")
     overlap = pairs.groupBy("departed", "cand").agg(F.count(F.lit(1)).alias("shared"))
     size = own.groupBy("departed").agg(F.count(F.lit(1)).alias("n_topics"))
@@ -122,3 +130,29 @@ def capped_log(log: DataFrame, per_month: int = 20, whole: int = 5000) -> DataFr
     """The report form of the log: the first entries of each month, within the first entries of a departure."""
     w = Window.partitionBy("departed", "month").orderBy("seq")
     return log.where(F.col("seq") <= whole).withColumn("i", F.row_number().over(w)).where(F.col("i") <= per_month)
+
+
+def loss_categories(departed: DataFrame, top: DataFrame, losses: DataFrame, default: str = "General Operations") -> DataFrame:
+    """(departed, n_perm_loss_categories, total_categories): lasting losses within the categories of the person's first topics.
+
+    ``top`` (person, category) are those topics, ``losses`` (person, category) the lost ones; who has no topic counts with ``default``.
+    """
+    dep = departed.select("person")
+    mine = dep.join(top.select("person", "category").distinct(), "person", "left").select("person", F.coalesce("category", F.lit(default)).alias("category"))
+    lost = mine.join(losses.select("person", "category").distinct().withColumn("lost", F.lit(1)), ["person", "category"], "left")
+    return lost.groupBy(F.col("person").alias("departed")).agg(F.count("lost").alias("n_perm_loss_categories"), F.count(F.lit(1)).alias("total_categories"))
+
+
+def combined_metrics(removed: DataFrame, gaps: DataFrame, months: DataFrame, losses: DataFrame, fewest: int = 2, most: int = 5) -> DataFrame:
+    """One row of a queue of departures: mean hire gap (whole percent each), 0.7 of the mean last recovery in percent, lasting-loss categories.
+
+    A departure without a value counts 0; a queue of fewer than ``fewest`` or more than ``most`` persons is refused.
+    """
+    last = months.where("month = 12").select("departed", "recovery_rate")
+    j = removed.select(F.col("person").alias("departed")).join(gaps, "departed", "left").join(last, "departed", "left").join(losses, "departed", "left")
+    out = j.agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.floor(F.coalesce("external_hire_gap", F.lit(0.0)) * 100 + 0.5)).alias("avg_hire_gap"),
+        (F.avg(F.coalesce("recovery_rate", F.lit(0.0)) * 100) * 0.7).alias("avg_recovery_12"), F.sum(F.coalesce("n_perm_loss_categories", F.lit(0))).alias("total_perm_loss_categories"),
+    )
+    refused = F.raise_error(F.concat(F.lit("combined_metrics: a queue has 2 to 5 persons, not "), F.col("n").cast("string")))
+    return out.select(F.when(F.col("n").between(fewest, most), F.col("n")).otherwise(refused.cast("bigint")).alias("n"), "avg_hire_gap", "avg_recovery_12", "total_perm_loss_categories")

@@ -12,7 +12,7 @@ from tacitra.operators import graph as G
 from tacitra.operators import simulate as S
 from tacitra.plans.knowledge import _EP, profile
 from tacitra.plans.network import _B, edges
-from tacitra.plans.risks import _ROLE, _T, titles
+from tacitra.plans.risks import _ROLE, _T, removed, titles, with_category
 from tacitra.session import checkpointed
 from tacitra.sources.tables import table
 
@@ -39,8 +39,8 @@ def roles(spark: SparkSession, sf: str) -> DataFrame:
     return titles(spark, sf).select("person", D.role_category(F.col("title"), with_pr=False).alias("role"))
 
 
-def ready(spark: SparkSession, sf: str) -> DataFrame:
-    return S.readiness(leaving(spark, sf), profile(spark, sf), edges(spark, sf), roles(spark, sf))
+def ready(spark: SparkSession, sf: str, departed: DataFrame | None = None) -> DataFrame:
+    return S.readiness(leaving(spark, sf) if departed is None else departed, profile(spark, sf), edges(spark, sf), roles(spark, sf))
 
 
 _ROLE_S = _ROLE.replace(" OR contains(lower(title), ' pr')", "")
@@ -105,6 +105,33 @@ def simulation_summary(spark, sf):
     return final.join(flat, "departed").join(lost, "departed", "left").fillna(0, subset=["n_lost"])
 
 
+def lost_categories(spark: SparkSession, sf: str, departed: DataFrame, log: DataFrame) -> DataFrame:
+    top = X.top_k(profile(spark, sf).join(departed.select("person"), "person", "left_semi"), ["person"], [F.desc("score"), F.asc("topic")], 10)
+    return S.loss_categories(departed, with_category(top), with_category(V.permanent_loss(S.topic_quality(log))))
+
+
+@query(None)
+def loss_categories(spark, sf):
+    """Lasting-loss categories of each departure within its ten first topics."""
+    return lost_categories(spark, sf, leaving(spark, sf), routing(spark, sf))
+
+
+@query(None)
+def loss_integrity(spark, sf):
+    """One row: departures checked, and those with fewer than 0 or more lost categories than all, or none at all."""
+    n, total = F.col("n_perm_loss_categories"), F.col("total_categories")
+    return loss_categories(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.count_if((n < 0) | (n > total) | (total < 1)).alias("n_broken"))
+
+
+@query(None)
+def cascade_metrics(spark, sf):
+    """Hire gap, recovery and lasting losses of the queue of departures together."""
+    gone = removed(spark, sf)
+    able = checkpointed(ready(spark, sf, gone))
+    log = checkpointed(S.simulate(S.candidates(able, profile(spark, sf), edges(spark, sf))))
+    return S.combined_metrics(gone, S.hire_gap(able), S.timeline(log), lost_categories(spark, sf, gone, log))
+
+
 # Monthly series of the orders: twelve months of a customer, the rate being the share of the largest month.
 _CURVE = """o AS (SELECT o_custkey AS person, CAST(month(o_orderdate) AS INT) AS month, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2), cu AS (SELECT person, month, round(v / max(v) OVER (PARTITION BY person), 4) AS rate FROM o)"""
 

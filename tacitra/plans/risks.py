@@ -184,6 +184,14 @@ def live_risk(spark, sf):
     return C.live_risk(people, with_category(profile(spark, sf)), removed(spark, sf)).select("person", F.round("live_risk", 6).alias("live_risk"))
 
 
+@query(None)
+def live_quadrant(spark, sf):
+    """The quadrant of those who stay, under the risk that the queue of departures leaves them with."""
+    people = quadrants(spark, sf).select("person", F.col("risk_score").alias("risk"), "impact")
+    live = C.live_risk(people, with_category(profile(spark, sf)), removed(spark, sf)).join(people.select("person", "impact"), "person")
+    return live.select("person", R.quadrant(F.col("live_risk"), F.col("impact")).alias("quadrant"))
+
+
 @query(f"WITH {_EP}, {_CAT}, {_GONE} SELECT category, count(DISTINCT person) AS hits, CASE WHEN count(DISTINCT person) >= 2 THEN 'LOST' ELSE 'PARTIAL' END AS state FROM c JOIN g USING (person) GROUP BY category")
 def topic_hits(spark, sf):
     return C.topic_hits(with_category(profile(spark, sf)), removed(spark, sf))
