@@ -54,7 +54,7 @@ def neighbour_tiers(edges: DataFrame, near: float = 5, far: float = 3) -> DataFr
     return first.withColumn("tier", F.lit(1)).unionByName(second.withColumn("tier", F.lit(2)))
 
 
-def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(person, component): the smallest person of each connected component.
 
     Labels pass to neighbours and then jump to the label of their label, so the rounds grow with the logarithm of the
@@ -62,7 +62,7 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """
     both = checkpointed(symmetric(edges).select("person", "partner").distinct())
     labels = both.groupBy("person").agg(F.least(F.min("partner"), F.min("person")).alias("component"))
-    for _ in range(most_rounds):
+    while True:
         seen = both.join(labels.withColumnRenamed("person", "partner"), "partner").groupBy("person").agg(F.min("component").alias("other"))
         moved = labels.join(seen, "person", "left").select("person", F.least("component", F.coalesce("other", "component")).alias("next"), F.col("component").alias("was"))
         jump = labels.select(F.col("person").alias("next"), F.col("component").alias("far"))
@@ -70,7 +70,6 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         labels = new.select("person", "component")
         if not new.where("component != was").limit(1).count():
             return labels
-    raise RuntimeError("components: labels still move after the allowed rounds")
 
 
 def _blocks(pdf: pd.DataFrame) -> pd.DataFrame:

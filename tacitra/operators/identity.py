@@ -16,10 +16,13 @@ def domain_part(address: Column) -> Column:
     return F.when(address.contains("@"), F.lower(F.substring_index(address, "@", -1))).otherwise(F.lit(""))
 
 
-def clean_header_name(raw: Column, suffix: str = "CORV") -> Column:
-    """A header name without directory path, brackets, organisation suffix, trailing department and quotes; 'Last, First' turned round."""
+def clean_header_name(raw: Column, suffix: str = "") -> Column:
+    """A header name without directory path, brackets, trailing department and quotes; 'Last, First' turned round.
+
+    ``suffix`` is the organisation's name as mail systems append it (Name@SUFFIX); by default any in capitals is removed.
+    """
     out = raw
-    for pattern in (r"(?i)\s*</O=[^>]*>?", r"\s*<[^>]*>", rf"(?i)@{suffix}\S*", r"(?i)\s*<IMCEA[^>]*>?", r"\s*\([^)]*\)\s*$", r"(?:/[A-Z]+)+$"):
+    for pattern in (r"(?i)\s*</O=[^>]*>?", r"\s*<[^>]*>", rf"(?i)@{suffix}\S*" if suffix else r"@[A-Z]{2,}\b\S*", r"(?i)\s*<IMCEA[^>]*>?", r"\s*\([^)]*\)\s*$", r"(?:/[A-Z]+)+$"):
         out = F.regexp_replace(out, pattern, "")
     out = F.trim(F.regexp_replace(out, r"[\"']", ""))
     out = F.when(out.rlike(r"^[^,]+,\s*[^,]+$"), F.regexp_replace(out, r"^([^,]+),\s*([^,]+)$", "$2 $1")).otherwise(out)

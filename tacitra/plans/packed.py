@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tacitra.operators.delivery import message_key, surplus_rows
+from tacitra.operators.delivery import keep_first, message_key, surplus_rows
 from tacitra.operators.timestamps import normalise_timestamps, utc_text
 from tacitra.operators.unpack import unpack_fields
 from tacitra.sources.tables import table
@@ -17,7 +17,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     mails = table(spark, sf_dir, "enron_emails")
-    return surplus_rows(mails, message_key(F.col("message_id")), "received_at", "row_id")
+    return surplus_rows(mails, message_key(F.col("message_id")), "received_at", "row_id", unique_ties=True)
+
+
+def p2_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mail with one copy of each message, by row and file."""
+    mails = table(spark, sf_dir, "enron_emails").select("row_id", "message_id", "received_at", "file")
+    return keep_first(mails, message_key(F.col("message_id")), "received_at", "row_id", unique_ties=True).select("row_id", "file")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +34,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.where(F.col("utc_instant").isNotNull()).select("row_id", utc_text(F.col("utc_instant")).alias("utc"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p7_found": p7_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_kept": p2_kept, "p7_found": p7_found}
 
 _T = r"(\d{1,2}):(\d\d)(?::(\d\d)(?:[.,](\d{1,9}))?)?(?: *([AaPp])[Mm]\b)?"
 _Z = r"(?: *([Zz]|[+-]\d\d(?::?\d\d)?|[A-Za-z]{2,5}|[A-Za-z]+/[A-Za-z_/+-]+))?(?: *\([^)]*\))?"
@@ -64,12 +70,16 @@ _P7 = r"""WITH b AS (SELECT row_id, regexp_replace(date, '^\s+|\s+$', '', 'g') A
     v AS (SELECT row_id, CASE WHEN off IS NULL AND timezone(zone, make_timestamptz(us - 3600000000)) = w THEN us - 3600000000 ELSE us END AS us FROM u UNION ALL SELECT * FROM n)
     SELECT row_id, strftime(make_timestamp(us), '%Y-%m-%d %H:%M:%S.%f') AS utc FROM v WHERE us IS NOT NULL""".replace("LAYOUTS", " UNION ALL ".join(_sql_layout(*x) for x in _LAYOUTS))
 
+_P2 = r"""WITH k AS (SELECT row_id, received_at, file, regexp_replace(message_id, '^[\s<>]+|[\s<>]+$', '', 'g') AS m FROM enron_emails),
+        q AS (SELECT row_id, received_at, file, CASE WHEN m = '' THEN NULL WHEN contains(m, '@') THEN regexp_replace(m, '@[^@]*$', '') || '@' || lower(regexp_extract(m, '@([^@]*)$', 1)) ELSE m END AS k FROM k)"""
+
 SQL = {
     "p7_found": _P7,
     "p1_found": r"""WITH f AS (SELECT row_id, 'to' AS field, "to" AS s FROM enron_emails UNION ALL SELECT row_id, 'cc', cc FROM enron_emails),
         a AS (SELECT row_id, field, list_transform(regexp_extract_all(s, '[^\s<>()",;|/:]+@[^\s<>()",;|/:]+'), lambda x: lower(CASE WHEN length(x) > 2 AND x[1] = chr(39) AND x[-1] = chr(39) THEN x[2:-2] ELSE x END)) AS v FROM f WHERE contains(s, '@')),
         n AS (SELECT row_id, field, list_filter(list_transform(regexp_split_to_array(s, '[;|\n\t\r]'), lambda x: trim(x, ' "')), lambda x: trim(x, ' ,') <> '') AS v FROM f WHERE NOT contains(s, '@'))
         SELECT row_id, field, CAST(generate_subscripts(v, 1) AS INT) AS pos, unnest(v) AS value FROM (SELECT * FROM a UNION ALL SELECT * FROM n)""",
+    "p2_kept": _P2 + " SELECT row_id, file FROM q QUALIFY k IS NULL OR row_number() OVER (PARTITION BY k ORDER BY received_at, row_id) = 1",
     "p2_found": r"""WITH k AS (SELECT row_id, received_at, regexp_replace(message_id, '^[\s<>]+|[\s<>]+$', '', 'g') AS m FROM enron_emails),
         q AS (SELECT row_id, received_at, CASE WHEN m = '' THEN NULL WHEN contains(m, '@') THEN regexp_replace(m, '@[^@]*$', '') || '@' || lower(regexp_extract(m, '@([^@]*)$', 1)) ELSE m END AS k FROM k)
         SELECT row_id FROM (SELECT row_id, row_number() OVER (PARTITION BY k ORDER BY received_at, row_id) AS rk FROM q WHERE k IS NOT NULL) WHERE rk > 1""",

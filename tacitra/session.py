@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,12 +28,21 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point checkpoints at the shared folder of spark.checkpoint.dir; a private folder only where none is set."""
+    """Point checkpoints at the shared folder of spark.checkpoint.dir.
+
+    A private folder serves only a session of one machine that names none; on a cluster every executor would write to its
+    own disk, so a missing setting is an error there.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "tacitra-checkpoints"))
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="tacitra-checkpoints-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    sc.setCheckpointDir(shared)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

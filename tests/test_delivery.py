@@ -68,3 +68,30 @@ def test_brute_force(spark):
             groups.setdefault(k, []).append((t, i))
     expected = sorted(i for g in groups.values() for _, i in sorted(g)[1:])
     assert sorted(r[0] for r in surplus_rows(frame(spark, rows), message_key(F.col("message_id")), "received_at", "row_id").collect()) == expected
+
+
+def test_ties_shared_by_identifiers(spark):
+    df = spark.createDataFrame([("A", T[1], 1), ("B", T[0], 0), ("B", T[2], 1), ("C", T[0], 5), ("C", T[3], 5)], "m string, t timestamp, tie bigint")
+    kept = keep_first(df, F.col("m"), "t", "tie")
+    assert sorted(map(tuple, kept.collect())) == [("A", T[1], 1), ("B", T[0], 0), ("C", T[0], 5)]
+    assert sorted(r[0] for r in surplus_rows(df, F.col("m"), "t", "tie").collect()) == [1, 5]
+
+
+def test_every_kind_of_tie_break_agrees(spark):
+    import random
+
+    rnd = random.Random(11)
+    rows = [(rnd.choice("abcd"), rnd.choice([*T, None]), rnd.choice([-(2**63), -5, 0, 7, 2**63 - 1]), i) for i in range(400)]
+    best = {}
+    for m, t, tie, _ in rows:
+        best[m] = min(best.get(m, (2, 0, 0)), (t is None, t or 0, tie))
+    expected = sorted((m, t or None, tie) for m, (_, t, tie) in best.items())
+    df = spark.createDataFrame(rows, "m string, t timestamp, tie bigint, extra int")
+    assert sorted((r.m, r.t, r.tie) for r in keep_first(df, F.col("m"), "t", "tie").collect()) == expected
+    texts = df.withColumn("tie", F.lpad((F.col("tie").cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("string"), 20, "0"))
+    assert sorted((r.m, r.t, int(r.tie) - 2**63) for r in keep_first(texts, F.col("m"), "t", "tie").collect()) == expected
+
+
+def test_aggregated_by_hash(spark):
+    plan = surplus_rows(frame(spark), message_key(F.col("message_id")), "received_at", "row_id", unique_ties=True)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
