@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,7 +125,19 @@ def encode_batch(table: MergeTable, texts: list[str | None], chunk_chars: int =
     return (np.concatenate(ids) if ids else np.zeros(0, np.int32)), np.concatenate(([0], np.cumsum(np.array(counts, np.int64))))
 
 
-def encode_corpus(df: DataFrame, id_col: str, text_col: str, ranks_path: str = DEFAULT_RANKS) -> DataFrame:
+def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of consecutive slices of at most ``most`` in all, or of one row that is larger."""
+    at, held = 0, 0
+    for i, size in enumerate(sizes):
+        if held and held + size > most:
+            yield at, i - at
+            at, held = i, 0
+        held += int(size)
+    if at < len(sizes):
+        yield at, len(sizes) - at
+
+
+def encode_corpus(df: DataFrame, id_col: str, text_col: str, ranks_path: str = DEFAULT_RANKS, slice_bytes: int = 1 << 23) -> DataFrame:
     """(id, ids ARRAY<INT>) for every row. One pass, no shuffle; the vocabulary (fixed size, some MB) is broadcast."""
     made = MergeTable(read_ranks(ranks_path))
     arrays = df.sparkSession.sparkContext.broadcast((made.byte_ids, made.keys, made.merged))
@@ -133,9 +146,10 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, ranks_path: str = D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = MergeTable.of(arrays.value)
         for batch in batches:
-            # slices keep the lists of a batch far below the limit of 32-bit offsets
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            # a text has no more tokens than bytes, so slices by bytes keep the lists within the limit of 32-bit offsets
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            for at, rows in slices(sizes, slice_bytes):
+                part = batch.slice(at, rows)
                 ids, offsets = encode_batch(table, part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))], names=["id", "ids"])
 

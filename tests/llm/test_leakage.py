@@ -8,7 +8,7 @@ PASSAGE = "one two three four five six seven eight nine ten eleven twelve"
 def pairs(spark, docs, items, **kw):
     d = spark.createDataFrame(docs, "doc_id bigint, text string, i string")
     i = spark.createDataFrame(items, "item_id bigint, passage string, question string")
-    return sorted(map(tuple, leaked_items(d, "doc_id", "text", i, "item_id", ["passage", "question"], **kw).collect()))
+    return sorted((r.doc_id, r.item_id) for r in leaked_items(d, "doc_id", "text", i, "item_id", ["passage", "question"], **kw).collect())
 
 
 def test_ten_words(spark):
@@ -24,6 +24,8 @@ def test_ten_words(spark):
     ]
     assert pairs(spark, docs, items) == sorted([(1, 1), (1, 3), (1, 1), (1, 3), (2, 1), (4, 1), (4, 3), (8, 1), (8, 3)])
     assert sorted(set(pairs(spark, docs, items, block_chars=1))) == sorted({(1, 1), (1, 3), (2, 1), (4, 1), (4, 3), (8, 1), (8, 3)})
+    for size in (0, 10, 10**9):  # the same rows whether the items are broadcast or joined
+        assert pairs(spark, docs, items, block_chars=size) == pairs(spark, docs, items)
     assert pairs(spark, docs, []) == [] and pairs(spark, [], items) == []
 
 
@@ -70,3 +72,13 @@ def test_with_edits(spark):
             if any(edit_distance_to_substring(w[k : k + 10], t) <= 2 for k in range(len(w) - 9)):
                 expected.append((d, i))
     assert pairs(spark, docs, items, max_edits=2) == sorted(expected)
+    assert pairs(spark, docs, items, max_edits=2, block_chars=0) == sorted(expected)
+
+
+def test_fewest_edits(spark):
+    item = spark.createDataFrame([(1, PASSAGE)], "i string, t string")
+    texts = [PASSAGE, PASSAGE.replace("six", "x"), PASSAGE.replace("six", "x").replace("two", "y"), PASSAGE.replace("five six", "five and six"), PASSAGE.replace("six ", "")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "d int, t string")
+    for size in (0, 10**9):
+        got = {r.d: r.edits for r in leaked_items(docs, "d", "t", item, "i", ["t"], max_edits=1, block_chars=size).collect()}
+        assert got == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1}

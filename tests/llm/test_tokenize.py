@@ -28,3 +28,14 @@ def test_round_trip(encoding, spark):
     for r in rows:
         assert encoding.decode(r.ids) == (TEXTS[r.doc_id] or "")
     assert encode_corpus(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_slices_hold_every_row():
+    import numpy as np
+
+    from tacitra.llm.tokenize import slices
+
+    for sizes in ([], [0, 0, 0], [5, 1, 9, 30, 0, 0, 2], [100]):
+        cut = list(slices(np.array(sizes, int), 10))
+        assert [i for at, n in cut for i in range(at, at + n)] == list(range(len(sizes)))
+        assert all(n == 1 or sum(sizes[at : at + n]) <= 10 for at, n in cut)
