@@ -1,21 +1,26 @@
 """Text that was decoded with the wrong character encoding: found, and restored where the bytes are still there.
 
 Multi-byte damage: the characters of a text are mapped back to the bytes of a legacy encoding, an automaton over the
-structure of UTF-8 bytes finds the maximal well-formed spans, and only those spans are decoded. Twice-damaged text is
-run through again. Single-byte damage has no byte structure; it shows as letters that no script mixes (see RULES), and
+structure of UTF-8 bytes finds the maximal well-formed spans, and only those spans are decoded, whatever their script: two
+letters of one script, or signs of three bytes and more, do not come about by chance; a single character of two bytes must
+be one that Latin text holds. Text damaged several times is run through again. Single-byte damage has no byte structure; it shows as letters that no script mixes (see RULES), and
 the words that hold them are decoded with the pair of encodings that makes the shape disappear.
 
 Defined results
 * null, empty, blank and plain ASCII texts are never affected; the latter are told by their byte length alone;
 * U+FFFD and C1 control characters always mark a text as affected; U+FFFD cannot be restored;
-* the restored text equals the input where nothing can be decoded; undamaged parts are never changed;
+* the restored text equals the input where nothing can be decoded; well-formed characters of any script are kept;
+* damage of several rounds is undone round by round until nothing decodes;
+* a row is restorable if nothing is lost and no damaged shape is left in it (kinds ``lost`` and ``unsolved``);
 * repeated rows each give their row; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,12 +29,12 @@ from pyspark.sql import functions as F
 
 # Order of trial: the more common a wrong decoding, the earlier.
 LEGACY = ["cp1252", "mac_roman", "cp437", "cp850", "cp1251"]
-_UTF8 = r"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})"
+_UTF8 = r"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})"
 _SPAN = re.compile(_UTF8 + "+")
+_C1 = re.compile("[\x80-\x9f]+")
 _WIDE = re.compile(r"[^\x00-\x7f]{2,}")
-# What a span may decode to: Latin, Cyrillic, punctuation and signs of business text.
-_PLAUSIBLE = re.compile("[ -ſƒˆ˜ЁА-яё‐-›€№™]+")
-_CYRILLIC = re.compile("[Ѐ-ӿ]")
+# What is left of a multi-byte character: rules on single bytes must not touch it.
+_PARTIAL = re.compile("[\xc2-\xf4](?:[\x80-\xbf‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{2,}|[\x80-\x9f\xa1-\xbf€‚ƒ„†‡ˆ‰Š‹ŒŽ•˜™š›œžŸ]$)")
 
 
 def _back(codec: str) -> dict[int, int]:
@@ -49,8 +54,37 @@ _TABLES = {codec: _back(codec) for codec in LEGACY}
 _ABSENT = {codec: re.compile("[^\x00-\x7f" + "".join(re.escape(chr(c)) for c in table) + "]") for codec, table in _TABLES.items()}
 
 
-def _decode_spans(run: str, lone: bool = False) -> str | None:
-    """``run`` with its well-formed multi-byte spans decoded; None if it holds none. ``lone``: single Cyrillic letters too."""
+# Signs and Latin letters that stand alone in running text: what a span of a single character may decode to.
+_SINGLE = re.compile("[\x80-\u017fƒ\u0218-\u021bˆ˜\u1e00-\u1eff\u2000-\u206f€№™]+")
+_EAST_ASIAN = frozenset(("CJK", "HIRAGANA", "KATAKANA", "KATAKANA-HIRAGANA", "HALFWIDTH", "FULLWIDTH", "IDEOGRAPHIC", "BOPOMOFO"))
+
+
+@lru_cache(maxsize=1 << 16)
+def _script(c: str) -> str:
+    """The script of a letter as the Unicode name begins; the scripts that Japanese and Chinese mix count as one."""
+    first = unicodedata.name(c, "?").split(" ")[0]
+    return "EAST ASIAN" if first in _EAST_ASIAN else first
+
+
+def _coherent(text: str, before: str, after: str, lone: frozenset[str]) -> bool:
+    """Whether a decoded span reads as text of whatever script: byte structure alone can arise by chance in two characters."""
+    if _SINGLE.fullmatch(text):
+        return not _C1.search(text) or bool(_SPAN.search(text))  # control characters only as bytes of an earlier round
+    if any(unicodedata.category(c) in ("Cn", "Co", "Cs") or c < "\xa0" for c in text):
+        return False
+    letters = [_script(c) for c in text if c.isalpha() and not _SINGLE.match(c)]
+    if not letters:  # signs, marks, emoji: three bytes and more do not come about by chance
+        return all(_SINGLE.match(c) or c >= "\u0800" for c in text)
+    if len(set(letters)) > 1 or letters[0] == "LATIN":
+        return False
+    if len(letters) > 1 or letters[0] in lone:
+        return True
+    beside = before[-1:].isalnum() or after[:1].isalnum()
+    return not beside and all(c >= "\u0800" for c in text if c.isalpha())
+
+
+def _decode_spans(run: str, lone: frozenset[str] = frozenset(), before: str = "", after: str = "") -> str | None:
+    """``run`` with its well-formed multi-byte spans decoded; None if it holds none. ``lone``: scripts of which single letters count too."""
     best = None
     for codec in LEGACY:
         if codec == "cp1251" and not re.search("[^А-яЁё]", run):
@@ -61,7 +95,7 @@ def _decode_spans(run: str, lone: bool = False) -> str | None:
         out, at, won = [], 0, 0
         for span in _SPAN.finditer(mapped):
             text = span[0].encode("latin-1").decode("utf-8")
-            if not _PLAUSIBLE.fullmatch(text) or len(text) < 2 and not lone and _CYRILLIC.match(text):
+            if not _coherent(text, run[at : span.start()] or before, run[span.end() :] or after, lone):
                 continue
             out += [run[at : span.start()], text]
             at, won = span.end(), won + len(span[0])
@@ -91,7 +125,6 @@ RULES = [
 # Of a text with such a shape, the words that are wholly of the damaged script are decoded too.
 _WHOLE = {"Cyrillic as western": re.compile("[\xa8\xaf\xb2-\xff]+"), "one Cyrillic as another": re.compile("[Ѐ-ӿ═-╬░-▓]+")}
 _HARD = re.compile("[�\x80-\x9f]")
-_C1 = re.compile("[\x80-\x9f]+")
 _TOKEN = re.compile(r"\S+")
 
 
@@ -99,20 +132,24 @@ def inspect_text(text: str) -> tuple[str, list[str]]:
     """(restored text, kinds of damage); no kinds for undamaged text."""
     kinds: list[str] = []
     restored = text
-    for _ in range(3):
-        changed, lone = False, False
+    while True:  # each round of damage is undone by one turn; every decoded span is shorter, so this ends
+        changed, lone = False, frozenset()
+        scripts: set[str] = set()
 
         def undo(m: re.Match) -> str:
             nonlocal changed
-            got = _decode_spans(m[0], lone)
-            changed = changed or got is not None
-            return m[0] if got is None else got
+            got = _decode_spans(m[0], lone, m.string[max(0, m.start() - 1) : m.start()], m.string[m.end() : m.end() + 1])
+            if got is None:
+                return m[0]
+            changed = True
+            scripts.update(_script(c) for c in got if c >= "\u0370" and c.isalpha())
+            return got
 
         restored = _WIDE.sub(undo, restored)
         if not changed:
             break
-        if _CYRILLIC.search(restored) and not _CYRILLIC.search(text):  # where words were Cyrillic, single letters are too
-            lone = True
+        lone = frozenset(scripts - {_script(c) for c in text if c >= "\u0370" and c.isalpha()} if scripts else ())
+        if lone:  # where words were of another script, single letters are too
             restored = _WIDE.sub(undo, restored)
         kinds.append("multi-byte")
     if _HARD.search(restored):
@@ -120,14 +157,18 @@ def inspect_text(text: str) -> tuple[str, list[str]]:
         restored = _C1.sub(lambda m: m[0].encode("latin-1").decode("cp1252", "replace") if not re.search("[\x81\x8d\x8f\x90\x9d]", m[0]) else m[0], restored)
     elif _HARD.search(text):
         kinds.append("control")
+    decoded = "multi-byte" in kinds
     for name, shape, pairs in RULES:
         if shape.search(restored):
             kinds.append(name)
             pair = _fitting(restored, _WHOLE[name], pairs) if name in _WHOLE else None
+            # what multi-byte decoding has made, or left of a multi-byte character, is no matter of single bytes
             if pair:
-                restored = _WHOLE[name].sub(lambda m: _turn(m[0], *pair), restored)
+                restored = _WHOLE[name].sub(lambda m: m[0] if decoded and m[0] not in text else _turn(m[0], *pair), restored)
             else:
-                restored = _TOKEN.sub(lambda m: _redecode(m[0], shape, pairs), restored)
+                restored = _TOKEN.sub(lambda m: m[0] if decoded and m[0] not in text else _redecode(m[0], shape, pairs), restored)
+    if any(shape.search(restored) for name, shape, _ in RULES if name in kinds):
+        kinds.append("unsolved")
     return restored, list(dict.fromkeys(kinds))
 
 
@@ -150,7 +191,7 @@ def _fitting(text: str, whole: re.Pattern, pairs: list[tuple[str, str]]) -> tupl
 
 def _redecode(token: str, shape: re.Pattern, pairs: list[tuple[str, str]]) -> str:
     """The token in the first pair of encodings that leaves no such shape; unchanged if none does."""
-    if token.isascii() or not shape.search(token + " "):
+    if token.isascii() or not shape.search(token + " ") or _PARTIAL.search(token):
         return token
     for wrong, right in pairs:
         try:
@@ -179,6 +220,6 @@ def garbled_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     texts.append(restored)
                     found.append(kinds)
             if at:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(texts, pa.string()), pa.array(found, pa.list_(pa.string())), pa.array(["lost" not in k for k in found])], names=["id", "restored", "kinds", "restorable"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(texts, pa.string()), pa.array(found, pa.list_(pa.string())), pa.array(["lost" not in k and "unsolved" not in k for k in found])], names=["id", "restored", "kinds", "restorable"])
 
     return source.mapInArrow(run, f"id {kind}, restored string, kinds array<string>, restorable boolean").withColumnRenamed("id", id_col)

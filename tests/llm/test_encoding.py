@@ -47,6 +47,33 @@ def test_lost_and_control():
     assert inspect_text("it\x92s \x93old\x94")[0] == "it’s “old”"
 
 
+SCRIPTS = ["Καλημέρα κόσμε, τι κάνεις;", "שלום עולם, מה שלומך?", "日本語のテキストです。よろしくお願いします", "Great 😀👍🏽 news 🎉", "مرحبا بالعالم", "Tiếng Việt rất đẹp", "București și Țara", "中文 text 字", "안녕하세요 세계", "नमस्ते दुनिया", RUSSIAN]
+
+
+@pytest.mark.parametrize("text", SCRIPTS)
+def test_every_script(text):
+    assert inspect_text(text) == (text, [])
+    for codec in ("latin-1", "cp1252"):
+        bad = text
+        for _ in range(4):
+            try:
+                bad = bad.encode("utf-8").decode(codec)
+            except UnicodeDecodeError:
+                break
+            assert inspect_text(bad)[0] == text and "multi-byte" in inspect_text(bad)[1]
+
+
+def test_chance_is_no_damage():
+    for text in ("« CAFÉ\xa0» est fermé", "È\xa0vero", "ÀÉ", "Ä€5?"[:1] + " 5"):
+        assert inspect_text(text)[0] == text
+
+
+def test_garbled_signs_are_not_changed_into_others():
+    bad = SCRIPTS[2].encode("utf-8").decode("cp1252", "replace")  # bytes without a character are lost
+    restored, kinds = inspect_text(bad)
+    assert "lost" in kinds and not any("\u0400" <= c <= "\u04ff" for c in restored)
+
+
 def test_frame(spark):
     rows = [(1, None, 0), (2, "", 0), (3, "cafÃ©", 0), (3, "cafÃ©", 0), (4, "café", 0), (5, ("ok " * 40000) + "Ã¼ber", 0), (6, "caf�", 0)]
     df = spark.createDataFrame(rows, "row_id bigint, body string, restored int")
