@@ -80,10 +80,8 @@ _GIVEN_TRIE = Trie(GIVEN)
 
 def given_names(word: str) -> frozenset[str]:
     """The full given names that a typed one can stand for; the word itself if none."""
-    if word in GIVEN:
-        return frozenset((word,))
-    if word in SHORT:
-        return frozenset(x for x in (SHORT[word], SHORT_ALSO.get(word)) if x in GIVEN)
+    if word in GIVEN or word in SHORT:
+        return frozenset(x for x in (word, SHORT.get(word), SHORT_ALSO.get(word)) if x in GIVEN)
     if len(word) >= 4 and len(cut := [g for g in GIVEN if g.startswith(word)]) == 1:
         return frozenset(cut)
     if len(word) >= 3:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 
-# Given names (grammatical gender of the usual bearer) and the short forms typed for them.
+# A prior of common given names (grammatical gender of the usual bearer) with the short forms typed for them.
+# The corpus itself adds those it shows (llm/evidence.py).
 GIVEN = {
     "alexandra": ("f", "alex lexi sandra"),
     "anais": ("f", ""),
@@ -59,9 +60,28 @@ GIVEN = {
     "zelda": ("f", ""),
     "zoe": ("f", ""),
 }
-SHORT = {s: full for full, (_, shorts) in GIVEN.items() for s in shorts.split()}
+# More given names of the prior, without short forms of their own but for those in MORE_SHORT.
+MORE = {
+    "m": """aaron adam ahmed alan albert andrew antonio arthur benjamin brandon brian bruce carl carlos colin craig curtis david dennis derek dmitri donald douglas eric eugene
+    gary george graham harold hassan henry howard hugh ian igor ivan jason jeffrey jerry john jonathan joseph joshua juan keith kenneth kevin leonard louis luis marcus mark martin
+    matthew miguel mohammed nathan neil nicholas nigel omar patrick paul pedro peter philip pierre ralph raymond roger ronald russell ryan scott sean sergei simon stanley stefan
+    stuart timothy todd trevor vijay vincent vladimir walter wolfgang""".split(),
+    "f": """alice amanda amy andrea angela ann anna anne anita ashley astrid beverly brenda brigitte carmen carol carolyn catherine cheryl christine claire claudia cynthia denise
+    diane donna dorothy elena emily emma evelyn fatima gloria greta hannah heather heidi helen isabel jacqueline janet janice jessica joan joyce judith julia julie karen kathleen
+    laura linda lisa louise maria marilyn martha mary megan melissa michelle monica nancy nicole olga olivia pamela petra rachel sabine samantha sandra sara sarah sharon shirley sonia
+    sophia sophie stephanie svetlana teresa ursula vivian wendy yvonne""".split(),
+}
+MORE_SHORT = {
+    "andrew": "andy", "benjamin": "ben", "cynthia": "cindy", "david": "dave", "donald": "don", "douglas": "doug", "jacqueline": "jackie", "jeffrey": "jeff", "john": "johnny", "jonathan": "jon",
+    "joseph": "joe joey", "joshua": "josh", "judith": "judy", "kenneth": "ken kenny", "leonard": "lenny", "matthew": "matt", "nicholas": "nick", "pamela": "pam", "peter": "pete",
+    "philip": "phil", "ronald": "ron", "stanley": "stan", "timothy": "tim", "vincent": "vince", "walter": "walt",
+}
+# Given names that are words as well: they count only with a family name behind them, a comma form or a title.
+ALSO_WORDS = frozenset("mark carol don".split())
+GIVEN |= {name: (gender, MORE_SHORT.get(name, "")) for gender, names in MORE.items() for name in names if name not in GIVEN}
+SHORT = {s: full for full, (_, shorts) in reversed(GIVEN.items()) for s in shorts.split()}  # of several full names the first
 
-SHORT_ALSO = {"ted": "edward", "kit": "katherine", "kat": "katherine", "sandy": "sandra", "lex": "alexandra", "bert": "robert"}
+SHORT_ALSO = {"ted": "edward", "kit": "katherine", "kat": "katherine"}
 
 
 def fold(text: str) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tacitra.llm.encoding import garbled_rows
 from tacitra.llm.entities import linked_addresses
+from tacitra.llm.evidence import given_name_evidence, typed_names
 from tacitra.llm.leakage import leaked_items
 from tacitra.llm.newtext import foreign_lines
 from tacitra.llm.personal import personal_data, without_personal_data
@@ -22,13 +23,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_addresses(table(spark, sf_dir, "clean_names"))
 
 
+def _given_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return given_name_evidence(typed_names(table(spark, sf_dir, "enron_emails"), "from", table(spark, sf_dir, "clean_names"), "display_names"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal_data(table(spark, sf_dir, "enron_emails"), "row_id", ["subject", "body"])
+    return personal_data(table(spark, sf_dir, "enron_emails"), "row_id", ["subject", "body"], learned=_given_names(spark, sf_dir))
 
 
 def p5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every subject and body with its personal data replaced by keyed surrogates."""
-    return without_personal_data(table(spark, sf_dir, "enron_emails"), "row_id", ["subject", "body"], key="surrogates of the test corpus")
+    return without_personal_data(table(spark, sf_dir, "enron_emails"), "row_id", ["subject", "body"], key="surrogates of the test corpus", learned=_given_names(spark, sf_dir))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

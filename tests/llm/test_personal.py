@@ -20,6 +20,14 @@ CASES = [
     ("To: Samuel Salanlow/LDN/CORV@CORV", [("name", "Samuel Salanlow")]),
     ("RenÃ© MÃ¶ntford called", [("name", "RenÃ© MÃ¶ntford")]),
     ("Birchall Risk Advisory Incorporated and the Dunmere storage field", []),
+    ("Please call John Smith tomorrow", [("name", "John Smith")]),
+    ("David Brown and Mary Johnson", [("name", "David Brown"), ("name", "Mary Johnson")]),
+    ("Kenneth Lay wrote to Jeffrey Skilling", [("name", "Kenneth Lay"), ("name", "Jeffrey Skilling")]),
+    ("Smith will call. Mr. Smith agreed.", [("name", "Smith"), ("name", "Smith")]),
+    ("Mr. Law agreed. Law is law.", [("name", "Law")]),
+    ("Mark the date; Mark Tavelin knows it", [("name", "Mark Tavelin")]),
+    ("Call me at 853-1234 or ext 345-9876; deal 853-1234", [("phone", "853-1234"), ("phone", "345-9876")]),
+    ("ZoÃ« Kelton and Dorothea G. OsandalÃƒÂ«", [("name", "ZoÃ« Kelton"), ("name", "Dorothea G. OsandalÃƒÂ«")]),
     ("", []),
     ("   ", []),
 ]
@@ -60,7 +68,22 @@ def test_frames(spark):
     rows = [(1, "Call 493.555.0187", "Ann"), (1, "Call 493.555.0187", "Ann"), (2, None, None), (3, "", "word " * 50000 + "a@x.example a@x.example")]
     df = spark.createDataFrame(rows, "row_id bigint, subject string, body string")
     got = sorted(map(tuple, personal_data(df, "row_id", ["subject", "body"]).collect()))
-    assert got == [(1, "subject", "phone", "493.555.0187")] * 2 + [(3, "body", "email", "a@x.example")]
+    assert got == [(1, "body", "name", "Ann")] * 2 + [(1, "subject", "phone", "493.555.0187")] * 2 + [(3, "body", "email", "a@x.example")]
     clean = without_personal_data(df, "row_id", ["subject", "body"], key="k")
     assert clean.columns == ["row_id", "subject", "body"] and clean.count() == 4
     assert personal_data(df.limit(0), "row_id", ["body"]).count() == 0
+
+
+def test_learned_names(spark):
+    from tacitra.llm.evidence import given_name_evidence, typed_names
+
+    mails = spark.createDataFrame([("Ollamar, Quendra <q.ollamar@x.example>",), ("Tessarin, Quendra (Gas)" " <qt@x.example>",), ("Bruvik Halmero <hbruvik@x.example>",), ("Dessalo, Halmero <h@x.example>",), (None,), ("plain@x.example",)], "from string")
+    export = spark.createDataFrame([({"a@x.example": "Gas Services, Ltd", "b@x.example": None},)], "display_names map<string,string>")
+    words = given_name_evidence(typed_names(mails, "from", export, "display_names"))
+    assert sorted(r.word for r in words.collect()) == ["halmero", "quendra"]
+    df = spark.createDataFrame([(1, "Ask Quendra Ollamar or Halmero."), (2, "quendra"), (1, None)], "row_id bigint, body string")
+    for most in (0, 100):  # the same rows whether the words travel with the tasks or meet the texts in a join
+        got = sorted(map(tuple, personal_data(df, "row_id", ["body"], learned=words, most_words=most).collect()))
+        assert got == [(1, "body", "name", "Halmero"), (1, "body", "name", "Quendra Ollamar")]
+        clean = {r.row_id: r.body for r in without_personal_data(df.where("body is not null"), "row_id", ["body"], learned=words, most_words=most).collect()}
+        assert clean == {1: "Ask [NAME_1] or [NAME_2].", 2: "quendra"}

@@ -37,3 +37,41 @@ def test_short_forms_follow_the_full_name():
 def test_address_in_a_text():
     out = replace_personal("Bob lives at 1041 Cobble Ln, Lowfen, CA 00752 now", b"k")
     assert not {"Bob", "1041", "Cobble", "Lowfen", "00752"} & set(re.findall(r"\w+", out))
+
+
+def test_one_bijection_for_all_texts():
+    import itertools
+    import random
+
+    rnd = random.Random(4)
+    s = Surrogates(b"corpus")
+    words = {"".join(rnd.choice("abeilmnorst") for _ in range(rnd.randrange(3, 7))) for _ in range(4000)} | {*GIVEN, *SHORT}
+    made = {w: s.word(w) for w in words}
+    assert len(set(made.values())) == len(words) and all(a != b for a, b in made.items())
+    assert all((made[w] in GIVEN or made[w] in s.short.values()) == (w in GIVEN or w in SHORT) for w in words)
+    texts = ["Susan Varberg met Bob Tarlow.", "Mr. Tarlow called SUSAN VARBERG", "Varberg, Susan and Robert Tarlow at susan.varberg@x.example"]
+    outs = [replace_personal(t, s) for t in texts]
+    given, family = outs[0].split()[:2]
+    assert f"{given.upper()} {family.upper()}" in outs[1] and f"{family}, {given}" in outs[2] and f"{given}.{family}@".lower() in outs[2].lower()
+    assert outs[1].split()[1] == outs[0].split()[4].rstrip(".")
+    for text, out in zip(texts, outs):
+        for word in ("Susan", "Varberg", "Tarlow", "Bob", "Robert"):
+            assert word.lower() not in re.findall("[a-z]+", out.lower()), (text, out)
+    assert len({s.letters("".join(p)) for p in itertools.product("0123456789", repeat=4)}) == 10000
+
+
+def test_a_number_stays_one_number():
+    s = Surrogates(b"k")
+    forms = ["(651) 555-0166", "651.555.0166", "6515550166", "651-555-0166 ext. 27"]
+    digits = {re.sub(r"\D", "", s.replace(f, "phone"))[:10] for f in forms}
+    assert len(digits) == 1 and digits != {"6515550166"}
+
+
+def test_domains_and_other_scripts():
+    s = Surrogates(b"k")
+    out = s.replace("ann.lee@mail.corvane.example", "email")
+    assert out.endswith(".example") and "corvane" not in out and out.count(".") == 3
+    for word in ("Ψαρρός", "יעקב", "محمد", "田中", "Björnsen", "Ёжиков"):
+        made = s.letters(word)
+        assert len(made) == len(word) and made != word
+    assert s.letters("Zöe")[1] in "äëïöü"
