@@ -44,6 +44,40 @@ def test_look_alikes():
     assert kinds("It is done.\nThank you, Jürgen") == "ns" and kinds("It is done.\nThanks for the update") == "nn"
 
 
+NEWS = "Hi Ann,\n\nThe report is ready and we can send it tomorrow. Please look at the last page.\n\n"
+
+
+def test_closings_that_no_list_holds():
+    for end, marks in (("Talk soon,\nJane", "ss"), ("Warmly,\nJane Doe", "ss"), ("Best wishes,\n\nJane", "s s"), ("Hugs,\nJ", "ss"), ("Speak Monday,\nPaul Brown\nHead of Sales", "sss"), ("Catch you later\nMarta", "ss")):
+        assert kinds(NEWS + end) == "n n " + marks, end
+
+
+def test_attributions_of_other_forms():
+    for text, marks in (
+        ("Jane Doe <jane@x.com> wrote on Monday:\nold text here that was sent before.", "qq"),
+        ("2001/3/4 Jane Doe <jane@x.com>:\n> old text\n> more\n\nAnswer here is given.", "qqq n"),
+        ("Jane Doe said on 3/4/01:\n> old\nYes, I agree with it.", "qqn"),
+        ("On " + "Monday the fourteenth of May " * 8 + "2001 Jane Doe wrote:\n> old text\n\nThanks for it, I agree.", "qq n"),
+    ):
+        assert kinds(NEWS + text) == "n n " + marks, text
+
+
+def test_long_notice_and_lines():
+    assert kinds("Done.\n\nThis message is for its reader.\n" + "It says nothing of note.\n" * 9 + "It is confidential and meant for the recipient.") == "n " + "d" * 11
+    assert kinds("word " * 500 + "ends.\n-- \nBob Lee") == "nss"
+
+
+def test_model_is_fitted_with_cues_hidden():
+    from tacitra.llm.newtext import load_model
+    from tacitra.llm.newtext_fit import agreement, fit
+
+    texts = [f"Hi Ann,\n\nThe report number {i} is ready now.\nPlease look.\n\n{c},\nBob Lee\n\n-----Original Message-----\nFrom: Ann\nSent: Monday\n\nold text" for i, c in enumerate(["Regards", "Thanks", "Cheers", "Sincerely"] * 30)]
+    small = fit(texts[:60], epochs=4)
+    for model in (small, load_model()):
+        same, n = agreement(model, texts[60:], hidden=1.0)
+        assert same >= 0.95 * n
+
+
 def test_edges():
     assert label_lines("") == [0] and label_lines("\n\n") == [0, 0, 0] and new_text(None) is None
     assert kinds("Hi Bob,\r\nDone.\r\n\r\n> old\r\n") == "nn q "
