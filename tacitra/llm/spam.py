@@ -1,12 +1,17 @@
 """Keyword-stuffed pages, link lists and tag lists.
 
-Each text is a sequence of words. Its suffix automaton, built over words, gives at every place the longest substring
-that occurs at least three times; the words under such maximal repeats are the page's repeated coverage. A second
-measure from the same automaton is the share of the page that one repeated phrase of content words takes. Coverage
-alone does not make spam (minutes and manuals repeat themselves too), so it counts only in units without clause
-structure: a unit is a line or sentence, and it has clause structure if it ends like a sentence, has a sentence's length
-and holds function words or few repetitions. Words of links, captions of links, hashtags and lists of product tags
-count by themselves; lines that open with a time (log entries), mail headers and addresses never count.
+Each text is a sequence of words. Its suffix automaton, built over words (a repeated keyword begins and ends with one),
+gives at every place the longest substring that occurs at least three times; the characters of the words under such
+maximal repeats are the page's repeated coverage. A second measure from the same automaton is the share of the page that
+one repeated phrase of content words takes. Coverage alone does not make spam (minutes and manuals repeat themselves
+too), so it counts only in units without clause structure: a unit is a line or sentence, and it has clause structure if
+it ends like a sentence, has a sentence's length and holds function words or few repetitions. A phrase of three words or
+more that takes a third of the page counts wherever it stands, in sentences too. Words of links, captions of links,
+hashtags and lists of product tags count by themselves; lines that open with a time (log entries), mail headers and
+addresses never count.
+
+The automaton is built only for pages that can be spam: what each unit could count at most follows from its words alone,
+and a page whose units together stay below the limit is none, whatever the automaton would say (``may_be_spam``).
 
 Defined results
 * a page is spam if more than half of its words are counted so; null, empty, blank and wordless texts are not;
@@ -16,7 +21,9 @@ Defined results
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,9 +47,12 @@ _LINK = re.compile(
     r"<a\b[^>]*>.*?</a>|\[url[=\]].*?\[/url\]|\[[^\]\n]*\]\((?:https?://|www\.)[^)\s]*\)|(?:https?://|ftp://|www\.)[^\s<>\"\]]+|<a\b[^>]*>|(?<![\w&])#\w+",
     re.IGNORECASE | re.DOTALL,
 )
-_BREAK = re.compile(r"(?<=[.!?])\s+|\n+|(?:;|\s[|•·/»])\s")
+_BREAK = re.compile(r"[\s;](?:(?<=[.!?]\s)\s*|(?<=\n)\n*|(?<=;)\s|(?<=\s)[|•·/»]\s)")  # begins with a set, which the engine looks for first
 _LOGGED = re.compile(r"\s*(?:[\[(]?(?:\d{4}-\d\d-\d\d|\d{1,2}/\d{1,2}/\d{2,4}|\d{1,2}:\d\d)|(?:Subject|From|To|Cc|Sent|Date):\s|[\w.'+-]+@[\w.-]+\s*$)")
 _PRODUCT = re.compile(r"\s*[#*•-]?\s*[A-Z]{2,5}[-_]?\d+\b(?![^\n]*[.?!]\s*$)")
+_IS_FUNCTION = FUNCTION_WORDS.__contains__
+_ENDS = (".", "?", "!", ":", ";", '"', ")")
+_LEAST_TIMES, _LEAST_SHARE = 4, 0.05  # how often a phrase of two content words must stand, and the share of the page it must take
 
 
 def repeats(words: list[int], leasts: tuple[int, ...] = (2, 3)) -> list[list[int]]:
@@ -90,6 +100,36 @@ def repeats(words: list[int], leasts: tuple[int, ...] = (2, 3)) -> list[list[int
     return out
 
 
+def may_be_spam(text: str, share: float) -> bool:
+    """False only where the words counted by ``spam_words`` cannot be more than ``share`` of all: an upper bound without an automaton."""
+    low = text.lower()
+    if len(low) != len(text) or "://" in low or "www." in low or "#" in low or "<a" in low or "[url" in low or "](" in low:
+        return True
+    raws = _BREAK.split(low)
+    units = list(map(_WORD.findall, raws))
+    words = list(chain.from_iterable(units))
+    n = len(words)
+    least = max(_LEAST_TIMES, _LEAST_SHARE / 2 * n)
+    often = {w for w, c in Counter(words).items() if c >= least and w not in FUNCTION_WORDS}
+    if often and any(c >= least for c in Counter((a, b) for a, b in zip(words, words[1:]) if a in often and b in often).values()):
+        return True  # a phrase that could count within sentences
+    limit, most = share * n, 0
+    for raw, unit in zip(raws, units):
+        size = len(unit)
+        if size:
+            functional = sum(map(_IS_FUNCTION, unit))
+            if functional < 0.45 * size and (not functional and 2 <= size <= 12 or not _clause(raw, unit, functional)):
+                most += size
+                if most > limit:
+                    return True
+    return False
+
+
+def _clause(raw: str, words: list[str], functional: int) -> bool:
+    size = len(words)
+    return 4 <= size <= 60 and (size >= 6 or functional >= 0.15 * size) and raw.rstrip()[-1:] in _ENDS and len(set(words)) >= 0.6 * size
+
+
 def _under(sizes: list[int], least_words: int = 2) -> list[bool]:
     """Which places lie under a repeat of ``least_words`` words or more."""
     out = [False] * len(sizes)
@@ -118,7 +158,8 @@ def spam_words(text: str) -> tuple[int, int]:
     linked = spam[:]
     plain = [i for i in range(n) if not linked[i]]
     code: dict[str, int] = {}
-    twice, thrice = (_under(x) for x in repeats([code.setdefault(spans[i][2], len(code)) for i in plain]))
+    sizes = repeats([code.setdefault(spans[i][2], len(code)) for i in plain])
+    twice, thrice = (_under(x) for x in sizes)
     covered, touched = [False] * n, [False] * n
     for j, i in enumerate(plain):
         covered[i], touched[i] = thrice[j], twice[j]
@@ -131,12 +172,19 @@ def spam_words(text: str) -> tuple[int, int]:
             key = spans[x][2], spans[y][2]
             pairs[key] = pairs.get(key, 0) + 1
     m = len(plain)
-    dense_pairs = {p for p, c in pairs.items() if c >= 4 and 2 * c >= 0.05 * m}
+    dense_pairs = {p for p, c in pairs.items() if c >= _LEAST_TIMES and 2 * c >= _LEAST_SHARE * m}
     dense = [False] * n
     if dense_pairs:
         for x, y in zip(plain, plain[1:]):
             if (spans[x][2], spans[y][2]) in dense_pairs:
                 dense[x] = dense[y] = True
+        # a phrase of three words or more around a pair that alone takes a fifth of the page, if it takes a third of it
+        phrase = _under(sizes[1], 3)
+        long = [i for j, i in enumerate(plain) if phrase[j]]
+        most = max(pairs[p] for p in dense_pairs)
+        if most >= 6 and 2 * most >= 0.2 * m and 3 * sum(spans[i][1] - spans[i][0] for i in long) >= sum(spans[i][1] - spans[i][0] for i in plain) and 3 * sum(dense[i] for i in long) >= len(long):
+            for i in long:
+                spam[i] = True
     # units
     ends = [m_.end() for m_ in _BREAK.finditer(text)] + [len(text)]
     i, start, caption_of, logged = 0, 0, None, False
@@ -154,9 +202,9 @@ def spam_words(text: str) -> tuple[int, int]:
         links = len(unit) - len(free)
         size = len(free)
         words = [spans[u][2] for u in free]
-        functional = sum(w in function for w in words)
-        ended = raw.rstrip()[-1:] in (".", "?", "!", ":", ";", '"', ")")
-        clause = ended and 4 <= size <= 60 and len(set(words)) >= 0.6 * size and (functional >= 0.15 * size or size >= 6)
+        functional = sum(map(_IS_FUNCTION, words))
+        ended = raw.rstrip()[-1:] in _ENDS
+        clause = _clause(raw, words, functional)
         if links and size and (size <= 3 or not clause and functional < 0.2 * size):
             for u in free:
                 spam[u] = True
@@ -173,9 +221,10 @@ def spam_words(text: str) -> tuple[int, int]:
                 inner = [p for p in zip(words, words[1:]) if p in dense_pairs]
                 thick *= len(inner) > len(set(inner))
             bare = functional < 0.1 * size and size >= 12  # no clause at all: two occurrences are enough
-            shown = sum((touched if bare else covered)[u] for u in free)
+            under = touched if bare else covered
+            shown = sum(spans[u][1] - spans[u][0] for u in free if under[u]) / sum(spans[u][1] - spans[u][0] for u in free)  # in characters
             digits = sum(w[0].isdigit() for w in words)
-            if not logged and (thick >= 0.3 * size or not clause and functional < 0.45 * size and shown >= 0.5 * size and digits < 0.3 * size):
+            if not logged and (thick >= 0.3 * size or not clause and functional < 0.45 * size and shown >= 0.5 and digits < 0.3 * size):
                 for u in free:
                     spam[u] = True
     if product_lines >= 4:  # a list of product tags, not one number in passing
@@ -194,7 +243,7 @@ def spam_pages(df: DataFrame, id_col: str, text_col: str, share: float = 0.5) ->
             at, shares = [], []
             for i, text in enumerate(batch.column(1)):
                 text = text.as_py()
-                if text:
+                if text and may_be_spam(text, share):
                     bad, n = spam_words(text)
                     if n and bad > share * n:
                         at.append(i)

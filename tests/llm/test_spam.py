@@ -52,3 +52,28 @@ def test_frame(spark):
     df = spark.createDataFrame([(1, spam, 0.0), (1, spam, 0.0), (2, PROSE, 0.0), (3, None, 0.0), (4, "", 0.0), (5, PROSE * 300, 0.0), (6, spam * 40, 0.0)], "doc_id bigint, text string, spam_share double")
     assert sorted(r.doc_id for r in spam_pages(df, "doc_id", "text").collect()) == [1, 1, 6]
     assert spam_pages(df.limit(0), "doc_id", "text").count() == 0
+
+
+STUFFED = " ".join(["Our store sells leather boots for men. The best leather boots for men are here.", "If you need leather boots for men, visit us and see leather boots for men today.", "Many people like leather boots for men because they last.", "We ship leather boots for men worldwide. Order leather boots for men and save.", "You can trust leather boots for men from us, as leather boots for men should fit.", "Call about leather boots for men. Leather boots for men and leather boots for men."])
+
+
+def test_keywords_within_sentences():
+    bad, n = spam_words(STUFFED)
+    assert bad > 0.5 * n
+
+
+def test_bound_never_drops_a_page():
+    import random
+
+    from tacitra.llm.spam import may_be_spam
+
+    rnd = random.Random(2)
+    bits = ["cheap boots online", "The meeting was moved to Friday because the room is closed.", "AB-1234 steel bolt", "boots, boots, boots;", "a\n\n", "| best deal", "the and of", "Notes (draft):", "x", "https://a.example/b", "#sale"]
+    spam = 0
+    for _ in range(3000):
+        text = rnd.choice([" ", "\n", ". "]).join(rnd.choices(bits, k=rnd.randrange(1, 25), weights=[rnd.random() ** 4 for _ in bits]))
+        bad, n = spam_words(text)
+        if n and bad > 0.5 * n:
+            spam += 1
+            assert may_be_spam(text, 0.5), text
+    assert spam > 100 and may_be_spam(STUFFED, 0.5) and not may_be_spam("", 0.5) and not may_be_spam("The meeting was moved to Friday because the room is closed.", 0.5)
