@@ -1,11 +1,15 @@
 """Addresses of one person or organisation linked through variant spellings of typed names.
 
-An address and each name typed for it are read into views: family name, given names, middle initial, or, for
-organisations, the brand and the line of business. Distinct family names are sharded by their first and last letters;
-each shard is a trie that Levenshtein automata traverse to enumerate all neighbours within one edit (a swap of
-neighbouring letters counts as one). A name and a neighbour are checked over both token orders before one is taken for
-a misspelling of the other. Addresses that agree on family and given name, and do not differ in the middle initial, are
-one entity; entities are formed over distinct profiles, never over pairs of addresses.
+An address and each name typed for it (in an export of display names and in senders) are read into views: family name,
+given names, middle initial, or, for organisations, the brand and the line of business. Where nothing tells which word of
+a name is the family name, both orders are views, and the one whose family name more addresses bear is taken.
+
+Distinct family names are sharded into tries that Levenshtein automata traverse to enumerate all neighbours within a
+bounded distance (a swap of neighbouring letters counts as one edit). A pair of neighbours is then checked over the other
+words of the names, whichever order they were typed in: a family name is a misspelling of a more frequent one if every
+given name that it stands beside stands beside that one too. Addresses that agree on family and given name, and do not
+differ in the middle initial, are one entity, and so are the entities that a known alias connects; entities are formed
+over distinct profiles, never over pairs of addresses.
 
 Defined results
 * addresses are compared in lower case without outer blanks; an address in several rows counts once with all its names;
@@ -13,20 +17,24 @@ Defined results
 * two profiles with the same given and family name but different middle initials are different; an address without
   middle initial among several such persons is linked to the one of its own domain if that is unique, else to none;
 * an initial alone is linked if exactly one given name of that family name begins with it;
+* names in senders count only for addresses of the export; aliases may lead over addresses that are none of its keys;
 * repeated rows change nothing; extra columns are ignored; an empty table gives no pair.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tacitra.llm.evidence import given_name_evidence, typed_names
 from tacitra.llm.names import GIVEN, SHORT, SHORT_ALSO, fold
+from tacitra.operators.graph import components
 from tacitra.session import checkpointed
 
 # Words of company names, and local parts that no person has.
@@ -78,31 +86,28 @@ class Trie:
 _GIVEN_TRIE = Trie(GIVEN)
 
 
+@lru_cache(maxsize=1 << 17)
 def given_names(word: str) -> frozenset[str]:
-    """The full given names that a typed one can stand for; the word itself if none."""
+    """The full given names of the prior that a typed one can stand for; the word itself if none."""
     if word in GIVEN or word in SHORT:
         return frozenset(x for x in (word, SHORT.get(word), SHORT_ALSO.get(word)) if x in GIVEN)
-    if len(word) >= 4 and len(cut := [g for g in GIVEN if g.startswith(word)]) == 1:
-        return frozenset(cut)
-    if len(word) >= 3:
-        near = [w for w, _ in _GIVEN_TRIE.within(word, 1)]
-        if near:
-            return frozenset(near)
-    return frozenset((word,))
+    cut = [g for g in GIVEN if g.startswith(word)] if len(word) >= 4 else []
+    near = [w for w, _ in _GIVEN_TRIE.within(word, 1)] if len(word) >= 3 else []
+    return frozenset((cut if len(cut) == 1 else []) + near) or frozenset((word,))
 
 
-def _is_given(word: str) -> bool:
-    return bool(given_names(word) & GIVEN.keys())
+def _is_given(word: str, learned: frozenset[str] = frozenset()) -> bool:
+    return word in learned or bool(given_names(word) & GIVEN.keys())
 
 
 def near(a: str, b: str, limit: int = 1) -> bool:
-    return a == b or abs(len(a) - len(b)) <= limit and bool(Trie([a]).within(b, limit))
+    return a == b or abs(len(a) - len(b)) <= limit and (len(a) < 3 or limit > 1 or a[0] == b[0] or a[-1] == b[-1]) and bool(Trie([a]).within(b, limit))
 
 
 # -- views -------------------------------------------------------------------------------------------------------------
 
 
-def read_name(name: str | None) -> tuple[str, list[str], str] | None:
+def read_name(name: str | None, learned: frozenset[str] = frozenset()) -> tuple[str, list[str], str] | None:
     """(family name, given name as typed or its initial, middle initial) of a typed person's name."""
     if not name:
         return None
@@ -119,9 +124,9 @@ def read_name(name: str | None) -> tuple[str, list[str], str] | None:
         return None
     middle = next((w for w in parts[1:-1] if len(w) == 1), "")
     # token orders: given name first, or last
-    if not _is_given(parts[0]) and len(parts[0]) > 1 and (_is_given(parts[-1]) or len(parts[-1]) == 1):
+    if not _is_given(parts[0], learned) and len(parts[0]) > 1 and (_is_given(parts[-1], learned) or len(parts[-1]) == 1):
         return parts[0], [parts[-1]], next((w for w in parts[1:-1] if len(w) == 1), "")
-    if len(parts) == 3 and len(parts[2]) == 1 and len(parts[1]) > 1 and not _is_given(parts[0]):
+    if len(parts) == 3 and len(parts[2]) == 1 and len(parts[1]) > 1 and not _is_given(parts[0], learned):
         return parts[0], [parts[1]], parts[2]
     return parts[-1], [parts[0]], middle
 
@@ -154,7 +159,14 @@ def read_local(local: str, family: str | None) -> list[tuple[str, str, str]]:
     return ways
 
 
-def read_address(address: str, names: list[str]) -> dict | None:
+def either_order(name: str, learned: frozenset[str] = frozenset()) -> list[str]:
+    """The two words of a name without comma that nothing tells apart, else nothing."""
+    text = re.sub(r"\([^)]*\)|/.*|<.*|@.*", " ", name).replace('"', " ")
+    words = [w for w in re.findall(r"[^\W\d_]+(?:['’-][^\W\d_]+)*", fold(text)) if len(w) > 1]
+    return words if "," not in text and len(words) == 2 and not any(_is_given(w, learned) for w in words) else []
+
+
+def read_address(address: str, names: list[str], learned: frozenset[str] = frozenset()) -> dict | None:
     """The profile of one address: an organisation (brand, line) or a person (families, givens, middle)."""
     local, at, domain = address.partition("@")
     if not at or not local or not domain:
@@ -171,7 +183,7 @@ def read_address(address: str, names: list[str]) -> dict | None:
             first = next((x for x in rest[1:] if x in COMPANY), "")
             line = first if len(first) > len(line) else line
         return {"org": brand, "line": line[:3]}
-    views = [v for v in (read_name(n) for n in names) if v]
+    views = [v for v in (read_name(n, learned) for n in names) if v]
     families: list[str] = [v[0] for v in views]
     givens = [g for v in views for g in v[1]]
     middle = {v[2] for v in views if v[2]}
@@ -197,7 +209,12 @@ def read_address(address: str, names: list[str]) -> dict | None:
         given = sorted({g + "*" for g in givens if g})[:1]
     if not families and not any(words):  # no person has such a local part (an acronym)
         return {"org": re.sub(r"(?:corp|online|inc|co)$", "", label.split("-")[0]) or label, "line": ""}
-    return {"families": list(dict.fromkeys(families)), "given": given, "middle": min(middle) if len(middle) == 1 else "", "agreed": len(views) > 0 and sure and ways[0][0] == views[0][0]}
+    if not known:  # words that may be either name: each is a family name to be weighed, and a given name if it is not taken as that
+        for n in names:
+            for w in either_order(n, learned):
+                families.append(w)
+                given.append(w)
+    return {"families": list(dict.fromkeys(families)), "given": list(dict.fromkeys(given)), "middle": min(middle) if len(middle) == 1 else "", "agreed": len(views) > 0 and sure and ways[0][0] == views[0][0]}
 
 
 # -- entities of one family name ---------------------------------------------------------------------------------------
@@ -210,19 +227,29 @@ def resolve(profiles: list[tuple[tuple[str, ...], str]]) -> list[tuple[str, str,
     """
     given_of = [set(g) for g, _ in profiles]
     full = {g for s in given_of for g in s if not g.endswith("*")}
+    by_initial: dict[str, set[str]] = defaultdict(set)
+    for g in full:
+        by_initial[g[0]].add(g)
     certain = {next(iter(s)) for s in given_of if len(s) == 1 and not next(iter(s)).endswith("*")}
+    beside = Counter((g, m) for s, (_, m) in zip(given_of, profiles) for g in s)  # how many profiles have a given name with a middle initial
+    with_middle: dict[str, set[str]] = defaultdict(set)
+    for g, m in beside:
+        with_middle[m].add(g)
     chosen: list[str] = []
-    for k, s in enumerate(given_of):
+    for s, (_, m) in zip(given_of, profiles):
         options = {g for g in s if not g.endswith("*")}
         if len(options) > 1:
             options = options & certain or options
-        for g in s:
-            if g.endswith("*"):
-                options |= {x for x in full if x.startswith(g[0])}
-        if not s:  # nothing but the family name
-            options = set(full)
-        if len(options) > 1 and profiles[k][1]:
-            options = {g for g in options if any(g in given_of[j] and profiles[j][1] == profiles[k][1] for j in range(len(profiles)) if j != k)} or options
+        if s:
+            for g in s:
+                if g.endswith("*"):
+                    options |= by_initial[g[0]]
+            if len(options) > 1 and m:
+                options = {g for g in options if beside[g, m] > (g in s)} or options
+        else:  # nothing but the family name
+            options = full
+            if len(full) > 1 and m:
+                options = {g for g in with_middle[m] if g in full} or full
         chosen.append(next(iter(options)) if len(options) == 1 else min(s) if len(s) == 1 and min(s).endswith("*") and not options else "")
     middles: dict[str, set[str]] = defaultdict(set)
     for g, (_, m) in zip(chosen, profiles):
@@ -240,14 +267,17 @@ def resolve(profiles: list[tuple[tuple[str, ...], str]]) -> list[tuple[str, str,
 _PROFILE = "addr string, domain string, org string, line string, families array<string>, given array<string>, middle string, agreed boolean"
 
 
-def _profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for addr, names in zip(pdf.addr, pdf.names):
-            p = read_address(addr, sorted(n for n in names if n and n.strip()))
-            if p is not None:
-                rows.append((addr, addr.partition("@")[2], p.get("org"), p.get("line"), p.get("families", []), p.get("given", []), p.get("middle"), p.get("agreed", False)))
-        yield pd.DataFrame(rows, columns=["addr", "domain", "org", "line", "families", "given", "middle", "agreed"])
+def _profiles(learned: frozenset[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for addr, names in zip(pdf.addr, pdf.names):
+                p = read_address(addr, sorted(n for n in names if n and n.strip()), learned)
+                if p is not None:
+                    rows.append((addr, addr.partition("@")[2], p.get("org"), p.get("line"), p.get("families", []), p.get("given", []), p.get("middle"), p.get("agreed", False)))
+            yield pd.DataFrame(rows, columns=["addr", "domain", "org", "line", "families", "given", "middle", "agreed"])
+
+    return run
 
 
 def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -290,52 +320,128 @@ def _shards(word) -> list:
     return [F.when(n <= 2, F.lit("short"))] + [F.when(cond, F.concat(F.lit(f"{side}{k}"), F.substring(word, *((1, k) if side == "h" else (-k, k))))) for cond, k in keys for side in "ht"]
 
 
-def near_words(words: DataFrame, probes: DataFrame, block: int = 20_000) -> DataFrame:
-    """(probe, word) of all different words within one edit. Both inputs hold distinct strings in their only column.
+def piece_keys(word: str, limit: int, probe: bool) -> set[str]:
+    """Keys of which a word and a probe within ``limit`` edits share at least one.
+
+    A word is cut into more pieces than the edits can touch (a swap can touch two); one stands in the probe unchanged,
+    moved by ``limit`` places at most. Words too short for that share the key of short words.
+    """
+    pieces = 2 * limit + 1
+    out = {"short"} if len(word) <= pieces + limit else set()
+    for n in range(len(word) - limit, len(word) + limit + 1) if probe else (len(word),):
+        if n > pieces:
+            cuts = [n * i // pieces for i in range(pieces + 1)]
+            for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                for move in range(-limit, limit + 1) if probe else (0,):
+                    if a + move >= 0 and b + move <= len(word):
+                        out.add(f"{n}.{i}.{word[a + move : b + move]}")
+    return out
+
 
-    A shard with more than ``block`` words is cut into blocks of about that size, each met by all probes of the shard,
-    so no task ever holds a larger trie.
+def near_words(words: DataFrame, probes: DataFrame, limit: int = 1, block: int = 20_000) -> DataFrame:
+    """(probe, word) of all different words within ``limit`` edits. Both inputs hold distinct strings in their only column.
+
+    A shard with more than ``block`` words or probes is cut into blocks of about that size on both sides, and every block
+    of words meets every block of probes in a task of its own, so no task holds a larger trie or more probes.
     """
     words, probes = words.toDF("word"), probes.toDF("word")
-    spread = lambda df: df.select("word", F.explode(F.array_compact(F.array(*_shards(F.col("word"))))).alias("shard"))
-    build = spread(words)
-    blocks = build.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
-    build = build.join(blocks, "shard").withColumn("salt", F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int")).select("shard", "salt", "word")
-    probe = spread(probes).join(blocks, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), "word")
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"probe": [], "word": []}, dtype=str)
-        trie = Trie(left.word)
-        return pd.DataFrame([(p, w) for p in right.word for w, d in trie.within(p, 1) if w != p], columns=["probe", "word"])
-
-    n = _parts(words)
-    build, probe = build.repartition(n, "shard", "salt"), probe.repartition(n, "shard", "salt")
-    return build.groupBy("shard", "salt").cogroup(probe.groupBy("shard", "salt")).applyInPandas(meet, "probe string, word string").distinct()
-
-
-def _component_labels(edges: DataFrame) -> DataFrame:
-    """(word, label) of the connected components of (a, b): smallest labels spread until none changes."""
-    both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
-    labels = both.groupBy(F.col("a").alias("word")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
-    while True:
-        new = (
-            both.join(labels, both.b == labels.word)
-            .groupBy(F.col("a").alias("word"))
-            .agg(F.min("label").alias("other"))
-            .join(labels, "word")
-            .select("word", F.least("label", "other").alias("label"), (F.col("other") < F.col("label")).alias("moved"))
-        )
-        new = checkpointed(new)
-        labels = new.select("word", "label")
-        if not new.where("moved").limit(1).count():
-            return labels
-
-
-def entity_keys(export: DataFrame, names_col: str = "display_names") -> DataFrame:
-    """(addr, entity) of every address among the keys of a map column address -> typed name."""
+
+    def spread(df: DataFrame, probe: bool) -> DataFrame:
+        if limit == 1:
+            return df.select("word", F.explode(F.array_compact(F.array(*_shards(F.col("word"))))).alias("shard"))
+
+        def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pd.DataFrame([(w, k) for w in pdf.word for k in piece_keys(w, limit, probe)], columns=["word", "shard"])
+
+        return df.mapInPandas(keys, "word string, shard string")
+
+    build, probe = spread(words, False), spread(probes, True)
+    sizes = build.select("shard", F.lit(1).alias("b"), F.lit(0).alias("p")).union(probe.select("shard", F.lit(0), F.lit(1))).groupBy("shard").agg(F.sum("b").alias("b"), F.sum("p").alias("p")).where("b > 0 and p > 0")
+    blocks = sizes.select("shard", F.ceil(F.col("b") / block).cast("int").alias("bs"), F.ceil(F.col("p") / block).cast("int").alias("ps"))
+    place = lambda n: F.pmod(F.xxhash64("word"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    build = build.join(blocks, "shard").select("shard", place("bs").alias("bsalt"), every("ps").alias("psalt"), "word")
+    probe = probe.join(blocks, "shard").select("shard", every("bs").alias("bsalt"), place("ps").alias("psalt"), "word")
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Cells one after another, the words of each before its probes."""
+        now, held, trie = None, [], None
+        for pdf in batches:
+            out = []
+            for key, probing, word in zip(zip(pdf["shard"], pdf.bsalt, pdf.psalt), pdf.probing, pdf.word):
+                if key != now:
+                    now, held, trie = key, [], None
+                if not probing:
+                    held.append(word)
+                    continue
+                trie = trie or Trie(held)
+                out += [(word, w) for w, _ in trie.within(word, limit) if w != word]
+            yield pd.DataFrame(out, columns=["probe", "word"])
+
+    cell = ["shard", "bsalt", "psalt"]
+    both = build.select(*cell, F.lit(False).alias("probing"), "word").unionByName(probe.select(*cell, F.lit(True).alias("probing"), "word"))
+    return both.repartition(_parts(words), *cell).sortWithinPartitions(*cell, "probing").mapInPandas(meet, "probe string, word string").distinct()
+
+
+def spellings(views: DataFrame, limit: int = 1) -> DataFrame:
+    """(family, label): the family names that are spellings of one another, by views (addr, given, agreed, family).
+
+    A family name is taken for a misspelling of a neighbour that more addresses bear if all given names beside it stand
+    beside the neighbour too; where it stands beside initials or nothing, and never twice at one address in the same
+    spelling, initials must agree. Of several neighbours the most frequent is taken, so no misspelling joins two of them;
+    neighbours of the same frequency are spellings of one another if neither has a more frequent one.
+    """
+    full, initial = ~F.col("g").endswith("*"), F.col("g").endswith("*")
+    given = views.select("family", F.explode("given").alias("g")).distinct()
+    known = checkpointed(
+        views.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.max("agreed").alias("agreed"))
+        .join(given.groupBy("family").agg(F.count_if(full).alias("nf"), F.count_if(initial).alias("ni")), "family", "left")
+        .select("family", "n", "agreed", F.coalesce("nf", F.lit(0)).alias("nf"), F.coalesce("ni", F.lit(0)).alias("ni"))
+    )
+    names = known.select("family")
+    pairs = near_words(names, names, limit)
+    a = known.select(F.col("family").alias("probe"), F.col("n").alias("np"), "agreed", "nf", "ni")
+    b = known.select(F.col("family").alias("word"), F.col("n").alias("nw"), F.col("nf").alias("wf"))
+    # a word beside no full given name tells nothing
+    pairs = checkpointed(pairs.join(a, "probe").join(b, "word").where("np <= nw and wf > 0 and (nf > 0 or not agreed)"))
+    beside = given.where(full).select("family", "g")
+    mine = pairs.where("nf > 0").join(beside.withColumnRenamed("family", "probe"), "probe").join(beside.withColumnRenamed("family", "word"), ["word", "g"])
+    initials = given.where(initial).select(F.col("family").alias("probe"), F.substring("g", 1, 1).alias("i")).distinct()
+    theirs = beside.select(F.col("family").alias("word"), F.substring("g", 1, 1).alias("i")).distinct()
+    alike = pairs.where("nf = 0").join(initials, "probe").join(theirs, ["word", "i"])
+    shared = mine.select("probe", "word").unionByName(alike.select("probe", "word")).groupBy("probe", "word").agg(F.count(F.lit(1)).alias("shared"))
+    held = pairs.join(shared, ["probe", "word"], "left").where("coalesce(shared, 0) = if(nf > 0, nf, ni)")
+    held = checkpointed(held.select("probe", "word", "np", "nw"))
+    best = held.where("np < nw").groupBy("probe").agg(F.max_by("word", F.struct("nw", "word")).alias("word"))
+    root = best.select("probe")
+    ties = held.where("np = nw").select("probe", "word").join(root, "probe", "left_anti").join(root.withColumnRenamed("probe", "word"), "word", "left_anti")
+    edges = best.select(F.col("probe").alias("src"), F.col("word").alias("dst"), F.lit(1.0).alias("weight")).unionByName(ties.select(F.col("probe").alias("src"), F.col("word").alias("dst"), F.lit(1.0).alias("weight")))
+    return components(edges).select(F.col("person").alias("family"), F.col("component").alias("label"))
+
+
+def _few_words(learned: DataFrame | None, most_words: int) -> frozenset[str]:
+    """The learned given names, if they are few enough to travel with the tasks; else none, and both orders of a name are weighed."""
+    if learned is None:
+        return frozenset()
+    few = learned.select("word").distinct().limit(most_words + 1).collect()
+    return frozenset(r.word for r in few) if len(few) <= most_words else frozenset()
+
+
+def entity_keys(
+    export: DataFrame, names_col: str = "display_names", aliases_col: str | None = None, mails: DataFrame | None = None, from_col: str = "from", limit: int = 1, most_words: int = 200_000
+) -> DataFrame:
+    """(addr, entity) of every address among the keys of a map column address -> typed name.
+
+    ``aliases_col`` is a map column alias -> address of known aliases, ``mails`` a table whose senders show more names.
+    """
     rows = export.select(F.explode(F.col(f"`{names_col}`")).alias("key", "name")).select(F.lower(F.trim("key")).alias("addr"), F.trim("name").alias("name")).where("addr != ''").distinct()
-    profiles = checkpointed(rows.groupBy("addr").agg(F.collect_set("name").alias("names")).mapInPandas(_profiles, _PROFILE))
+    if mails is not None:
+        sent = typed_names(mails, from_col, None, "").select(F.col("address").alias("addr"), "name")
+        rows = rows.unionByName(sent.join(rows.select("addr").distinct(), "addr", "left_semi"))
+    rows = checkpointed(rows)
+    learned = _few_words(given_name_evidence(rows.where("name != ''").select(F.col("addr").alias("address"), "name")), most_words)
+    profiles = checkpointed(rows.repartition(_parts(export), "addr").groupBy("addr").agg(F.collect_set("name").alias("names")).mapInPandas(_profiles(learned), _PROFILE))
 
     companies = profiles.where("org is not null")
     lines = companies.where("line != ''").groupBy("org").agg(F.countDistinct("line").alias("n"), F.min("line").alias("only"))
@@ -344,33 +450,15 @@ def entity_keys(export: DataFrame, names_col: str = "display_names") -> DataFram
     persons = profiles.where("org is null and size(families) > 0")
     views = persons.select("addr", "given", "agreed", F.explode("families").alias("family"))
     support = views.groupBy("family").agg(F.count(F.lit(1)).alias("support"))
-    best = views.join(support, "family").groupBy("addr").agg(F.max_by("family", F.struct("support", "family")).alias("family"), F.max("support").alias("support"))
-    # families that one address alone shows may be misspelt: held against their neighbours
-    loose = best.where("support < 2").select("addr").join(views, "addr")
-    loose = checkpointed(loose)
-    close = near_words(support.select("family"), loose.select("family").distinct())
-    bearers = views.select("family", F.explode("given").alias("g")).where(~F.col("g").endswith("*")).distinct().join(support, "family")
-    found = (
-        loose.select("addr", "agreed", F.col("family").alias("probe"), F.explode_outer("given").alias("g"))
-        .join(close, "probe")
-        .join(bearers.select(F.col("family").alias("word"), F.col("g").alias("bg"), "support"), "word")
-        .where((F.col("g") == F.col("bg")) | ~F.col("agreed") & (F.col("g").isNull() | F.col("g").endswith("*") & (F.substring("g", 1, 1) == F.substring("bg", 1, 1))))
-    )
-    found = checkpointed(found.select("addr", "probe", "word", "support").distinct())
-    known = found.where("support >= 2").groupBy("addr").agg(F.max_by("word", F.struct("support", "word")).alias("known"))
-    labels = _component_labels(found.where("support < 2").select(F.col("probe").alias("a"), F.col("word").alias("b")))
+    named = views.join(support, "family").join(spellings(views, limit), "family", "left")
+    named = checkpointed(named.select("addr", "given", "support", F.coalesce("label", "family").alias("family")))
+    best = named.groupBy("addr").agg(F.max_by("family", F.struct("support", "family")).alias("usual"), F.max("support").alias("most"))
     # a rarer spelling that stands beside the usual one at some address is that spelling wherever the given name agrees
-    beside = views.join(support, "family").join(best.select("addr", F.col("family").alias("usual"), F.col("support").alias("most")), "addr")
-    beside = beside.where(F.struct("support", "family") < F.struct("most", "usual")).select("family", F.explode("given").alias("g"), "usual", "most").where(~F.col("g").endswith("*"))
-    spelt = beside.groupBy("family", "g").agg(F.max_by("usual", F.struct("most", "usual")).alias("usual"))
-    again = best.join(persons.select("addr", F.explode("given").alias("g")), "addr").join(spelt, ["family", "g"]).groupBy("addr").agg(F.max("usual").alias("usual"))
-    family = (
-        best.join(known, "addr", "left")
-        .join(again, "addr", "left")
-        .join(labels.withColumnRenamed("word", "family"), "family", "left")
-        .select("addr", F.coalesce("known", "usual", F.when(F.col("support") < 2, F.col("label")), "family").alias("family"))
-    )
-    placed = persons.select("addr", "domain", "given", "middle").join(family, "addr")
+    placed = named.select("addr", "family", "support", F.explode("given").alias("g")).join(best, "addr")
+    spelt = placed.where(F.struct("support", "family") < F.struct("most", "usual")).where("family != usual and not endswith(g, '*')").groupBy("family", "g").agg(F.max_by("usual", F.struct("most", "usual")).alias("to"))
+    again = placed.where("family = usual").join(spelt, ["family", "g"]).groupBy("addr").agg(F.max("to").alias("to"))
+    family = best.join(again, "addr", "left").select("addr", F.coalesce("to", "usual").alias("family"))
+    placed = persons.join(family, "addr").select("addr", "domain", F.filter("given", lambda g: g != F.col("family")).alias("given"), "middle", "family")
 
     # distinct given names and initials of a family name: a bounded group however many addresses bear it
     apart = placed.select("family", "given", "middle").distinct().repartition(_parts(export), "family").sortWithinPartitions("family")
@@ -382,11 +470,30 @@ def entity_keys(export: DataFrame, names_col: str = "display_names") -> DataFram
         .withColumn("m", F.when(~F.col("several"), F.col("m")).when(F.col("n") == 1, F.col("only")))
         .select("addr", F.when((F.col("g") != "") & F.col("m").isNotNull(), F.concat_ws("|", F.lit("person"), "family", "g", "m")).otherwise(F.concat(F.lit("alone|"), F.col("addr"))).alias("entity"))
     )
-    return company_keys.unionByName(person_keys)
+    keys = checkpointed(company_keys.unionByName(person_keys))
+    return keys if aliases_col is None else _joined_by_aliases(keys, export, aliases_col)
+
 
+def _joined_by_aliases(keys: DataFrame, export: DataFrame, aliases_col: str) -> DataFrame:
+    """Entities that known aliases connect become one."""
+    low = lambda c: F.lower(F.trim(c))
+    known = export.select(F.explode(F.col(f"`{aliases_col}`")).alias("k", "v")).select(low("k").alias("k"), low("v").alias("v")).where("k != '' and v != '' and k != v").distinct()
+    ends = known.join(keys.select(F.col("addr").alias("k"), F.col("entity").alias("ek")), "k", "left").join(keys.select(F.col("addr").alias("v"), F.col("entity").alias("ev")), "v", "left")
+    ends = ends.select(F.coalesce("ek", F.concat(F.lit("absent|"), "k")).alias("src"), F.coalesce("ev", F.concat(F.lit("absent|"), "v")).alias("dst"), F.lit(1.0).alias("weight")).where("src != dst")
+    whole = components(ends).select(F.col("person").alias("entity"), F.col("component").alias("whole"))
+    return keys.join(whole, "entity", "left").select("addr", F.coalesce("whole", "entity").alias("entity"))
 
-def linked_addresses(export: DataFrame, names_col: str = "display_names") -> DataFrame:
-    """(addr_a, addr_b), addr_a < addr_b: every pair of addresses of one entity, formed after the entities are known."""
-    keys = checkpointed(entity_keys(export, names_col))
-    a, b = keys.toDF("addr_a", "entity"), keys.toDF("addr_b", "entity")
-    return a.join(b, "entity").where("addr_a < addr_b").select("addr_a", "addr_b")
+
+def linked_addresses(
+    export: DataFrame, names_col: str = "display_names", aliases_col: str | None = None, mails: DataFrame | None = None, from_col: str = "from", limit: int = 1, salt_above: int = 1000
+) -> DataFrame:
+    """(addr_a, addr_b), addr_a < addr_b: every pair of addresses of one entity, formed after the entities are known.
+
+    The pairs of an entity with more than ``salt_above`` addresses are formed by several tasks.
+    """
+    keys = checkpointed(entity_keys(export, names_col, aliases_col, mails, from_col, limit))
+    sizes = keys.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entity", F.ceil(F.col("n") / salt_above).cast("int").alias("salts"))
+    several = keys.join(sizes, "entity")
+    a = several.select("entity", F.pmod(F.xxhash64("addr"), F.col("salts")).cast("int").alias("salt"), F.col("addr").alias("addr_a"))
+    b = several.select("entity", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("addr").alias("addr_b"))
+    return a.join(b, ["entity", "salt"]).where("addr_a < addr_b").select("addr_a", "addr_b")

@@ -20,7 +20,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked_addresses(table(spark, sf_dir, "clean_names"))
+    return linked_addresses(table(spark, sf_dir, "clean_names"), aliases_col="duplicates", mails=table(spark, sf_dir, "enron_emails"))
 
 
 def _given_names(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,3 +65,46 @@ def test_linked(spark):
     expected = {(a, b) for a in susan for b in susan if a < b} | {("l..salan@x.example", "samuel.l.salan@x.example"), ("billing@acmeonline.example", "info@acme-gas.example")}
     assert got == expected
     assert linked_addresses(df.limit(0)).count() == 0
+
+
+def test_wider_distance_against_brute_force(spark):
+    vocabulary = sorted(set(words(120, 5)) | {"abcabcabcd", "abcabacbcd", "bacabcabcdd", "abcdabcdabcd", "abdcabcdabdc"})
+    df = spark.createDataFrame([(w,) for w in vocabulary], "w string")
+    for limit in (1, 2):
+        expected = sorted((a, b) for a in vocabulary for b in vocabulary if a != b and distance(a, b) <= limit)
+        for block in (20_000, 9):
+            assert sorted(map(tuple, near_words(df, df, limit=limit, block=block).collect())) == expected
+
+
+def test_piece_keys_meet():
+    from tacitra.llm.entities import piece_keys
+
+    vocabulary = words(400, 6)
+    for a in vocabulary[::7]:
+        for b in vocabulary:
+            for limit in (1, 2):
+                if distance(a, b) <= limit:
+                    assert piece_keys(a, limit, False) & piece_keys(b, limit, True), (a, b, limit)
+
+
+def test_misspelling_that_recurs(spark):
+    names = {f"susan.{f}@{d}.example": None for f in ("varberg",) for d in "abc"} | {"john.varberg@a.example": "John Varberg", "susan.vraberg@p.example": None, "susan.vraberg@q.example": None, "paul.varburg@a.example": None, "mary.varburg@a.example": None}
+    got = {tuple(r) for r in linked_addresses(spark.createDataFrame([(names,)], "display_names map<string,string>")).collect()}
+    susan = sorted(a for a in names if a.startswith("susan"))
+    assert got == {(a, b) for a in susan for b in susan if a < b}
+
+
+def test_both_orders_of_unlisted_names(spark):
+    names = {"q.ollamar@x.example": "Quendra Ollamar", "ollamar.q@y.example": "Ollamar Quendra", "h.ollamar@x.example": "Ollamar, Halmero", "z@w.example": "Ollamar Quendra", "t.ollamar@x.example": "Ollamar, Tessa"}
+    got = {tuple(r) for r in linked_addresses(spark.createDataFrame([(names,)], "display_names map<string,string>")).collect()}
+    assert ("ollamar.q@y.example", "q.ollamar@x.example") in got and not any("h.ollamar@x.example" in p for p in got)
+
+
+def test_aliases_senders_and_salts(spark):
+    names = {"bob.lee@x.example": "Bob Lee", "xq1@z.example": None, "ann.ray@x.example": None, "aray@y.example": None}
+    export = spark.createDataFrame([(names, {"XQ1@z.example ": "hidden@x.example", "hidden@x.example": "bob.lee@x.example"})], "display_names map<string,string>, duplicates map<string,string>")
+    mails = spark.createDataFrame([('"Ray, Ann" <aray@y.example>',), ("Stranger <s@x.example>",), (None,)], "from string")
+    expected = {("bob.lee@x.example", "xq1@z.example"), ("ann.ray@x.example", "aray@y.example")}
+    for salt in (1, 1000):
+        assert {tuple(r) for r in linked_addresses(export, aliases_col="duplicates", mails=mails, salt_above=salt).collect()} == expected
+    assert linked_addresses(export.limit(0), aliases_col="duplicates", mails=mails).count() == 0
