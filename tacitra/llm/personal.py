@@ -54,7 +54,8 @@ _BARE_ID = re.compile(r"(?<![\w-])(?:\d{3}-\d{2}-\d{4}|[A-Z]{2} \d\d \d\d \d\d [
 _PHONE = re.compile(
     r"(?<![\w$€£.,/+-])(?:\+\d{1,3}[ .-]?(?:\(?\d{1,4}\)?[ .-]?)?\d{3,4}[ .-]?\d{4}|(?:\+?1[ .-])?(?:\(\d{3}\) ?|\d{3}[ ./-])\d{3}[ .-]\d{4}|\(0\d{2,4}\) ?\d{3,4} ?\d{3,4}|\d{10})(?:,? ?(?:x|ext\.?|extension) ?\d{1,5})?(?![\w-]|[.,/]\d)"
 )
-_SHORT_PHONE = re.compile(r"(?i:\b(?:phone|tel|call|cell|fax|mobile|reach|dial|ring|direct|pager|extension|ext)\b[^\n\d]{0,30})(?P<v>(?<![\w$€£.,/+-])\d{3}[-.]\d{4}(?:,? ?(?:x|ext\.?|extension) ?\d{1,5})?)(?![\w-]|[.,/]\d)")
+_SHORT_PHONE = re.compile(r"(?<![\w$€£.,/+-])\d{3}[-.]\d{4}(?:,? ?(?:x|ext\.?|extension) ?\d{1,5})?(?![\w-]|[.,/]\d)")
+_PHONE_WORD = re.compile(r"\b(?:phone|tel|call|cell|fax|mobile|reach|dial|ring|direct|pager|extension|ext)\b[^\n\d]{0,30}$", re.IGNORECASE)
 _STREET = "Lane|Ln|Avenue|Ave|Street|St|Road|Rd|Boulevard|Blvd|Drive|Dr|Court|Ct|Parkway|Pkwy|Way|Place|Pl|Terrace|Highway|Hwy|Square|Sq|Close|Crescent"
 _PLACE = r"(?:[A-Z][\w'’]+(?: [A-Z][a-z'’]+)?)"
 _TOWN = rf"(?:,? {_PLACE},? [A-Z]{{2}} \d{{5}}(?:-\d{{4}})?|, {_PLACE}(?=[ ,.;\r\n]|$)(?!@))?"
@@ -69,6 +70,7 @@ _ID_WORDS = ("ssn", "s.s.n", "secur", "soc.", "sin", "ni ", "ni\n", "ni:", "nati
 _L = r"[^\W\d_]|[^\x00-\x7f“”‘’„…–—«»\s]|(?<=[ÃÂ√])[\xa0«»‘’“”„…–—]"
 _TOKEN = re.compile(rf"(?:{_L})+(?:['’](?:{_L})+)*")
 _ASCII_TOKEN = re.compile("[A-Za-z]+(?:'[A-Za-z]+)*")
+_INITIALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _TITLES = frozenset("Mr Ms Mrs Miss Dr Prof Herr Frau Mme".split())
 # Words that stand before ", Given" or behind a given name without being part of it.
 _NO_SURNAME = frozenset(
@@ -100,6 +102,13 @@ def _given(word: str) -> str | None:
     return None
 
 
+@lru_cache(maxsize=64)
+def _telling(learned: frozenset[str]) -> frozenset[str]:
+    """The words at which a name can be told, with the learned given names as they are written."""
+    return _TELLING | {x for w in learned for x in (w.capitalize(), w.upper())}
+
+
+@lru_cache(maxsize=1 << 16)
 def _among(word: str, learned: frozenset[str]) -> str | None:
     """The learned given name that a token is, accents and garbled accents aside."""
     low = word.lower()
@@ -148,12 +157,16 @@ def find_names(text: str, taken: list[tuple[int, int]], learned: frozenset[str]
     tokens = [(*m.span(), m[0]) for m in (_ASCII_TOKEN if chars.isascii() else _TOKEN).finditer(chars)]
     n, out, used = len(tokens), [], -1
     families: set[str] = set()
+    telling = _telling(learned)
+    known_small: list[set[str]] = []
 
-    @lru_cache(maxsize=1)
     def small() -> set[str]:
-        return {t[2] for t in tokens if t[2].islower()}
+        if not known_small:
+            known_small.append({t[2] for t in tokens if t[2].islower()})
+        return known_small[0]
 
-    for k in [i for i, t in enumerate(tokens) if t[2] in _TELLING or len(t[2]) == 1 and t[2].isupper() or not t[2].isascii() or learned and t[2].lower() in learned and t[2][0].isupper()]:
+    plain = chars.isascii()
+    for k in [i for i, t in enumerate(tokens) if t[2] in telling or t[2] in _INITIALS or not plain and not t[2].isascii()]:
         a, b, w = tokens[k]
         if k <= used:
             continue
@@ -266,7 +279,8 @@ def find_personal(text: str, learned: frozenset[str] = frozenset()) -> list[tupl
         for m in _PHONE.finditer(text):
             found.append((*m.span(), "phone"))
         for m in _SHORT_PHONE.finditer(text):  # numbers without area code count where a word says so
-            found.append((*m.span("v"), "phone"))
+            if _PHONE_WORD.search(text, max(0, m.start() - 45), m.start()):
+                found.append((*m.span(), "phone"))
     order = {"email": 0, "idnum": 1, "address": 2, "phone": 3}
     kept: list[tuple[int, int, str]] = []
     for a, b, kind in sorted(found, key=lambda x: (order[x[2]], x[0])):
