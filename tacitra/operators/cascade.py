@@ -59,11 +59,11 @@ def exposure(people: DataFrame, profile: DataFrame, topics: DataFrame, junior_fl
     weighed = profile.groupBy("person", "category").agg(F.sum("score").alias("w")).join(F.broadcast(topics), "category")
     per = weighed.groupBy("person").agg((F.sum(F.col("w") * F.col("automability")) / F.sum("w")).alias("raw"), F.sum(F.col("w") * (1 - F.col("automability") / 100)).alias("residual"))
     out = people.join(per, "person", "left")
-    exposed = F.floor(F.coalesce("raw", F.lit(0.0)) + 0.5)
+    exposed = F.floor(F.round(F.coalesce("raw", F.lit(0.0)), 9) + 0.5)  # sums of doubles depend on their order; half a point must not
     out = out.withColumn("exposure", F.when(F.col("junior"), F.greatest(exposed, F.lit(junior_floor))).otherwise(exposed))
     base, impact = F.col("risk") * 100, F.floor(F.col("impact") * 100 + 0.5)
     floor = F.when(impact >= 80, 25).when(impact >= 60, 20).otherwise(0)
-    out = out.withColumn("adjusted", F.floor(F.greatest(base * (1 - F.col("exposure") / 100 * 0.5), floor) + 0.5))
+    out = out.withColumn("adjusted", F.floor(F.round(F.greatest(base * (1 - F.col("exposure") / 100 * 0.5), floor), 9) + 0.5))
     high, wide = F.col("adjusted") >= 20, F.col("exposure") >= 65
     named = F.when(impact >= 80, "Critical Human Capital").when(high & wide, "Transition Risk").when(high, "Critical Human Capital").when(wide, "Automation Candidate").otherwise("Stable")
     return out.select("person", F.col("exposure").cast("double").alias("exposure"), F.col("adjusted").cast("double").alias("adjusted"), F.coalesce("residual", F.lit(0.0)).alias("residual"), named.alias("ai_quadrant"))

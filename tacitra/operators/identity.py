@@ -45,6 +45,12 @@ def is_system_account(address: Column) -> Column:
     return local.rlike(SYSTEM_ACCOUNT) | local.rlike(r"^\d+$") | (F.length(local) <= 6) & local.rlike(r"\d")
 
 
+def in_lists(addresses: DataFrame, column: str, locals_: list[str], domains: list[str]) -> DataFrame:
+    """Rows whose local part or domain stands in the lists, exactly (no beginnings); the lists are short."""
+    c = F.col(f"`{column}`")
+    return addresses.where(local_part(c).isin(*locals_) | domain_part(c).isin(*domains))
+
+
 def valid_successor(name: Column) -> Column:
     """Two words at least, no digits or signs."""
     return (F.size(F.split(F.trim(name), r"\s+")) >= 2) & ~name.rlike(r"[0-9@#$%^&*_+=\[\]{}|<>]")

@@ -43,7 +43,7 @@ def readiness(departed: DataFrame, profile: DataFrame, edges: DataFrame, roles:
     )
     raw = 0.4 * F.col("score") + 0.3 * F.col("shared") / F.col("n_topics") + 0.3 * F.coalesce(F.try_divide("weight", "most"), F.lit(0.0))
     same = F.coalesce(F.col("dep_role"), F.lit("Administration")) == F.coalesce(F.col("cand_role"), F.lit("Administration"))
-    return out.select("departed", "topic", "dep_score", "dep_cnt", "cand", "score", same.alias("same_role"), F.bround(F.when(same, raw).otherwise(F.least(raw, F.lit(0.15))), 4).alias("readiness"))
+    return out.select("departed", "topic", "dep_score", "dep_cnt", "cand", "score", same.alias("same_role"), F.bround(F.round(F.when(same, raw).otherwise(F.least(raw, F.lit(0.15))), 9), 4).alias("readiness"))
 
 
 def candidates(ready: DataFrame, profile: DataFrame, edges: DataFrame, near: float = 5, far: float = 3) -> DataFrame:

@@ -17,7 +17,7 @@ from tacitra.session import checkpointed
 from tacitra.sources.tables import table
 
 QUERIES, SQL = {}, {}
-_LEAVE = "l AS (SELECT person FROM risk_scores ORDER BY risk_score DESC, person LIMIT 20)"
+_LEAVE = "l AS (SELECT person FROM risk_scores ORDER BY risk_score DESC, person LIMIT 200)"
 
 
 def query(sql: str | None):
@@ -31,7 +31,7 @@ def query(sql: str | None):
 
 
 def leaving(spark: SparkSession, sf: str, k: int = 200) -> DataFrame:
-    """The departures to simulate: the ``k`` persons of highest risk (200 in the reference; the SQL still stops at 20)."""
+    """The departures to simulate: the ``k`` persons of highest risk (200 in the published study)."""
     return table(spark, sf, "risk_scores").orderBy(F.desc("risk_score"), F.asc("person")).limit(k).select("person")
 
 
@@ -51,7 +51,7 @@ _READY = f"""WITH {_EP}, {_B}, {_T}, {_LEAVE}, ro AS (SELECT person, {_ROLE_S} A
     w AS (SELECT person AS departed, partner AS cand, weight FROM b JOIN l USING (person)), mw AS (SELECT departed, max(weight) AS most FROM w GROUP BY 1),
     q AS (SELECT p.*, 0.4 * p.score + 0.3 * shared / n + 0.3 * coalesce(weight / most, 0) AS raw, coalesce(a.role, 'Administration') = coalesce(c.role, 'Administration') AS same_role
       FROM p JOIN s USING (departed, cand) JOIN z USING (departed) LEFT JOIN w USING (departed, cand) LEFT JOIN mw USING (departed) LEFT JOIN ro a ON a.person = departed LEFT JOIN ro c ON c.person = cand),
-    rd AS (SELECT departed, topic, cand, score, same_role, round_even(CASE WHEN same_role THEN raw ELSE least(raw, 0.15) END, 4) AS readiness FROM q)"""
+    rd AS (SELECT departed, topic, cand, score, same_role, round_even(round(CASE WHEN same_role THEN raw ELSE least(raw, 0.15) END, 9), 4) AS readiness FROM q)"""
 
 
 @query(_READY + " SELECT departed, topic, cand, same_role, readiness FROM rd")

@@ -70,7 +70,7 @@ def neighbour_tiers(spark, sf):
 
 
 @query(
-    f"""WITH RECURSIVE {_B}, s AS (SELECT person, partner FROM b WHERE weight >= 20),
+    f"""WITH RECURSIVE {_B}, s AS (SELECT person, partner FROM b),
     r(person, seen) AS (SELECT person, person FROM s UNION SELECT s.person, r.seen FROM s JOIN r ON s.partner = r.person)
     SELECT person, min(seen) AS component FROM r GROUP BY person"""
 )

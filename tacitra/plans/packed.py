@@ -34,7 +34,27 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.where(F.col("utc_instant").isNotNull()).select("row_id", utc_text(F.col("utc_instant")).alias("utc"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_kept": p2_kept, "p7_found": p7_found}
+def p7_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p7_found with the sites' order of slashed dates withheld: expectation-maximisation tells it from each site's own dates.
+
+    Rows left ambiguous have no instant and no row here.
+    """
+    mails = table(spark, sf_dir, "enron_emails").select("row_id", "date", "site")
+    sites = table(spark, sf_dir, "mail_sites").select("site", "time_zone", F.lit(None).cast("boolean").alias("day_first"))
+    done = normalise_timestamps(mails.join(sites, "site", "left"), "date", "site", "time_zone", "day_first")
+    return done.where(F.col("utc_instant").isNotNull()).select("row_id", utc_text(F.col("utc_instant")).alias("utc"))
+
+
+def p7_conventions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of slashed dates of each site as its own dates show it, nothing stated."""
+    mails = table(spark, sf_dir, "enron_emails").select("row_id", "date", "site")
+    sites = table(spark, sf_dir, "mail_sites").select("site", "time_zone", F.lit(None).cast("boolean").alias("day_first"))
+    done = normalise_timestamps(mails.join(sites, "site"), "date", "site", "time_zone", "day_first", certainty=0.5)
+    read = done.where(F.col("reading").contains("first"))
+    return read.groupBy("site").agg((F.count_if(F.col("reading").contains("day first")) > F.count_if(F.col("reading").contains("month first"))).alias("day_first"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_kept": p2_kept, "p7_found": p7_found, "p7_inferred": p7_inferred, "p7_conventions": p7_conventions}
 
 _T = r"(\d{1,2}):(\d\d)(?::(\d\d)(?:[.,](\d{1,9}))?)?(?: *([AaPp])[Mm]\b)?"
 _Z = r"(?: *([Zz]|[+-]\d\d(?::?\d\d)?|[A-Za-z]{2,5}|[A-Za-z]+/[A-Za-z_/+-]+))?(?: *\([^)]*\))?"
@@ -75,6 +95,7 @@ _P2 = r"""WITH k AS (SELECT row_id, received_at, file, regexp_replace(message_id
 
 SQL = {
     "p7_found": _P7,
+    "p7_conventions": "SELECT site, day_first FROM mail_sites WHERE site IN (SELECT site FROM enron_emails WHERE regexp_matches(date, '^\\s*[0-9]{1,2}/[0-9]{1,2}/'))",
     "p1_found": r"""WITH f AS (SELECT row_id, 'to' AS field, "to" AS s FROM enron_emails UNION ALL SELECT row_id, 'cc', cc FROM enron_emails),
         a AS (SELECT row_id, field, list_transform(regexp_extract_all(s, '[^\s<>()",;|/:]+@[^\s<>()",;|/:]+'), lambda x: lower(CASE WHEN length(x) > 2 AND x[1] = chr(39) AND x[-1] = chr(39) THEN x[2:-2] ELSE x END)) AS v FROM f WHERE contains(s, '@')),
         n AS (SELECT row_id, field, list_filter(list_transform(regexp_split_to_array(s, '[;|\n\t\r]'), lambda x: trim(x, ' "')), lambda x: trim(x, ' ,') <> '') AS v FROM f WHERE NOT contains(s, '@'))

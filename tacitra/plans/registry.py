@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tacitra.plans import departures, knowledge, network, packed, risks, texts
+from tacitra.plans import departures, knowledge, network, packed, reports, risks, texts
 
-MODULES = [knowledge, network, risks, departures, texts]
+MODULES = [knowledge, network, risks, departures, texts, reports]
 FLAGSHIP = knowledge.topic_vulnerability
 
 

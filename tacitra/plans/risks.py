@@ -9,6 +9,7 @@ from tacitra.operators import cascade as C
 from tacitra.operators import dims as D
 from tacitra.operators import expertise as X
 from tacitra.operators import graph as G
+from tacitra.operators import identity as I
 from tacitra.operators import risk as R
 from tacitra.plans.knowledge import _EP, profile
 from tacitra.plans.network import _B, edges
@@ -114,12 +115,20 @@ def inferred_role(spark, sf):
     return r.select("person", R.inferred_role(F.col("betweenness"), F.col("topics_top_expert"), F.col("weighted_degree")).alias("role"))
 
 
-@query("SELECT person, round(risk_score, 6) AS risk_score FROM (SELECT * FROM (SELECT * FROM risk_scores ORDER BY risk_score DESC, person LIMIT 300) WHERE NOT (regexp_matches(split_part(person, '@', 1), '(^[0-9]|noreply|postmaster|support|service)')) ORDER BY risk_score DESC, person LIMIT 200)")
+_REMOVED = "rm AS (SELECT DISTINCT lower(trim(x)) AS person FROM (SELECT unnest(removed) AS x FROM clean_names))"
+_SYSTEM = f"(regexp_matches(split_part(lower(person), '@', 1), '{D.SYSTEM_ACCOUNT}') OR regexp_full_match(split_part(person, '@', 1), '[0-9]+') OR length(split_part(person, '@', 1)) <= 6 AND regexp_matches(split_part(person, '@', 1), '[0-9]'))"
+
+
+def removed_list(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "clean_names").select(F.explode("removed").alias("x")).select(F.lower(F.trim("x")).alias("person")).distinct()
+
+
+@query(f"WITH {_REMOVED} SELECT person, round(risk_score, 6) AS risk_score FROM (SELECT * FROM risk_scores ORDER BY risk_score DESC, person LIMIT 300) WHERE NOT {_SYSTEM} AND lower(trim(person)) NOT IN (SELECT person FROM rm WHERE person IS NOT NULL) ORDER BY risk_score DESC, person LIMIT 200")
 def exported_people(spark, sf):
-    """The first 300 by risk, then without system accounts, then the first 200: in this order."""
+    """The first 300 by risk, then without removed and system accounts, then the first 200: in this order."""
     order = [F.desc("risk_score"), F.asc("person")]
     top = table(spark, sf, "risk_scores").orderBy(*order).limit(300)
-    kept = top.where(~F.substring_index("person", "@", 1).rlike("(^[0-9]|noreply|postmaster|support|service)"))
+    kept = top.where(~I.is_system_account(F.col("person"))).withColumn("key", F.lower(F.trim("person"))).join(removed_list(spark, sf).withColumnRenamed("person", "key"), "key", "left_anti")
     return kept.orderBy(*order).limit(200).select("person", F.round("risk_score", 6).alias("risk_score"))
 
 
@@ -217,8 +226,8 @@ _JUNIOR = " OR ".join(f"contains(lower(title), '{w}')" for w in D.JUNIOR)
     f"""WITH {_EP}, {_CAT}, {_T}, {_AI}, d AS (SELECT category, floor(0.40 * l + 0.35 * least(100.0, a) + 0.25 * c + 0.5) AS au FROM a),
     p AS (SELECT r.person, risk_score AS risk, coalesce({_IMPACT}, 0.25) AS impact, coalesce({_JUNIOR}, false) AS junior FROM risk_scores r LEFT JOIN t USING (person)),
     w AS (SELECT person, category, sum(score) AS w FROM c GROUP BY 1, 2), e AS (SELECT person, sum(w * au) / sum(w) AS raw, sum(w * (1 - au / 100)) AS residual FROM w JOIN d USING (category) GROUP BY person),
-    x AS (SELECT p.*, residual, CASE WHEN junior THEN greatest(floor(coalesce(raw, 0) + 0.5), 35) ELSE floor(coalesce(raw, 0) + 0.5) END AS exposure, floor(impact * 100 + 0.5) AS pi FROM p LEFT JOIN e USING (person)),
-    z AS (SELECT *, floor(greatest(risk * 100 * (1 - exposure / 100 * 0.5), CASE WHEN pi >= 80 THEN 25 WHEN pi >= 60 THEN 20 ELSE 0 END) + 0.5) AS adjusted FROM x)
+    x AS (SELECT p.*, residual, CASE WHEN junior THEN greatest(floor(round(coalesce(raw, 0), 9) + 0.5), 35) ELSE floor(round(coalesce(raw, 0), 9) + 0.5) END AS exposure, floor(impact * 100 + 0.5) AS pi FROM p LEFT JOIN e USING (person)),
+    z AS (SELECT *, floor(round(greatest(risk * 100 * (1 - exposure / 100 * 0.5), CASE WHEN pi >= 80 THEN 25 WHEN pi >= 60 THEN 20 ELSE 0 END), 9) + 0.5) AS adjusted FROM x)
     SELECT person, exposure::DOUBLE AS exposure, adjusted::DOUBLE AS adjusted, round(coalesce(residual, 0), 6) AS residual,
       CASE WHEN pi >= 80 THEN 'Critical Human Capital' WHEN adjusted >= 20 AND exposure >= 65 THEN 'Transition Risk' WHEN adjusted >= 20 THEN 'Critical Human Capital' WHEN exposure >= 65 THEN 'Automation Candidate' ELSE 'Stable' END AS ai_quadrant FROM z"""
 )

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tacitra.operators import identity as I
 from tacitra.operators import topics as T
+from tacitra.operators.dims import SYSTEM_ACCOUNT
 from tacitra.operators.timestamps import normalise_timestamps
+from tacitra.plans.packed import _P7
 from tacitra.sources import mail as M
 from tacitra.sources.tables import table
 from tacitra.streaming.counts import session_counts, windowed_counts
@@ -33,7 +35,7 @@ def addresses(spark: SparkSession, sf: str) -> DataFrame:
     return keys.select(F.lower(F.trim("k")).alias("email")).where("email != ''").distinct()
 
 
-@query(f"WITH {_PEOPLE} SELECT email, regexp_matches(split_part(email, '@', 1), '(^[0-9]|bounce|newsletter|app-|noreply|no-reply|postmaster|mailer-daemon|listserv|autorespond|subscribe|unsubscribe|donotreply|notification|alert|daemon|system|support|service)') OR regexp_full_match(split_part(email, '@', 1), '[0-9]+') OR (length(split_part(email, '@', 1)) <= 6 AND regexp_matches(split_part(email, '@', 1), '[0-9]')) AS is_system FROM p")
+@query(f"WITH {_PEOPLE} SELECT email, regexp_matches(split_part(email, '@', 1), '{SYSTEM_ACCOUNT}') OR regexp_full_match(split_part(email, '@', 1), '[0-9]+') OR (length(split_part(email, '@', 1)) <= 6 AND regexp_matches(split_part(email, '@', 1), '[0-9]')) AS is_system FROM p")
 def system_accounts(spark, sf):
     return addresses(spark, sf).select("email", I.is_system_account(F.col("email")).alias("is_system"))
 
@@ -61,15 +63,21 @@ def formatted_names(spark, sf):
     return addresses(spark, sf).select("email", I.formatted_name(F.col("email")).alias("name"), I.domain_part(F.col("email")).alias("domain"))
 
 
-@query(None)
+@query(
+    r"""WITH m AS (SELECT row_id, lower(regexp_extract("from", '([^\s<>"(),;:\[\]]+@[^\s<>"(),;:\[\]]+)', 1)) AS email, "from" AS f FROM enron_emails),
+    c AS (SELECT row_id, email, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(CASE WHEN contains(f, '<') THEN f ELSE '' END, '\s*</O=[^>]*>?', '', 'gi'), '\s*<[^>]*>', '', 'g'), '@[A-Z]{2,}\b\S*', '', 'g'), '\s*<IMCEA[^>]*>?', '', 'gi'), '\s*\([^)]*\)\s*$', '', 'g'), '(/[A-Z]+)+$', '', 'g') AS n FROM m WHERE email <> ''),
+    d AS (SELECT row_id, email, trim(regexp_replace(n, '["'']', '', 'g')) AS n FROM c),
+    e AS (SELECT row_id, email, trim(regexp_replace(CASE WHEN regexp_full_match(n, '[^,]+,\s*[^,]+') THEN regexp_replace(n, '^([^,]+),\s*([^,]+)$', '\2 \1') ELSE n END, '\s+', ' ', 'g')) AS n FROM d)
+    SELECT email, arg_min(n, row_id) FILTER (n <> '') AS name FROM e GROUP BY email"""
+)
 def header_names(spark, sf):
-    """The cleaned name of each sender as first written."""
-    m = table(spark, sf, "enron_emails").where(F.col("from").contains("<"))
-    rows = m.select(F.lower(F.regexp_extract("from", r"<([^>]+)>", 1)).alias("email"), I.clean_header_name(F.col("from")).alias("name"), "row_id").where("name != ''")
-    return I.first_wins(rows, "email", "name", "row_id")
+    """Every sender's address with the cleaned name as first written beside it, null where none ever was."""
+    m = table(spark, sf, "enron_emails").select(F.lower(F.regexp_extract("from", r"([^\s<>\"(),;:\[\]]+@[^\s<>\"(),;:\[\]]+)", 1)).alias("email"), "from", "row_id").where("email != ''")
+    name = F.nullif(I.clean_header_name(F.when(F.col("from").contains("<"), F.col("from")).otherwise("")), F.lit(""))
+    return m.withColumn("name", name).groupBy("email").agg(F.min_by("name", F.when(F.col("name").isNotNull(), F.col("row_id"))).alias("name"))
 
 
-@query("SELECT year(date_utc) AS year, count(*) AS n FROM (SELECT try_cast(date AS TIMESTAMP) AS date_utc, \"from\" AS f, \"to\" AS t FROM enron_emails WHERE regexp_matches(date, '^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\\.[0-9]{3}Z$')) WHERE date_utc BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '2002-12-31 23:59:59' AND f IS NOT NULL AND t IS NOT NULL GROUP BY 1")
+@query(f"SELECT year(CAST(utc AS TIMESTAMP)) AS year, count(*) AS n FROM ({_P7}) JOIN enron_emails USING (row_id) WHERE CAST(utc AS TIMESTAMP) BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '2002-12-31 23:59:59' AND \"from\" IS NOT NULL AND \"to\" IS NOT NULL GROUP BY 1")
 def mails_by_year(spark, sf):
     """Mail of 1998 to 2002 with sender and recipient, by year of the instant; dates of any layout, those without a sure instant left out."""
     mails = table(spark, sf, "enron_emails").select("date", "site", (F.col("from").isNotNull() & F.col("to").isNotNull()).alias("addressed"))
@@ -78,7 +86,7 @@ def mails_by_year(spark, sf):
     return m.groupBy(F.year("d").cast("bigint").alias("year")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT row_id, regexp_replace(message_id, '^\\s+|\\s+$', '', 'g') AS message_id, subject, body FROM enron_emails WHERE message_id IS NOT NULL AND \"from\" IS NOT NULL AND body IS NOT NULL AND subject IS NOT NULL AND trim(subject) <> '' AND regexp_matches(message_id, '\\S') AND regexp_full_match(body, '[ -~\\n]+') AND regexp_full_match(subject, '[!-~]([ -~]*[!-~])?')")
+@query(None)
 def mail_parse_roundtrip(spark, sf):
     """Every mail written as a raw message with all its headers and parsed again.
 

@@ -92,3 +92,25 @@ def test_many_sources_take_the_other_way(spark):
     two = normalise_timestamps(df, "date", "site", "zone", "day_first", max_broadcast_rows=3)
     assert sorted(map(str, one.collect())) == sorted(map(str, two.select(one.columns).collect()))
     assert normalise_timestamps(df.limit(0), "date", "site", "zone", "day_first").count() == 0
+
+
+def test_conventions_withheld(spark):
+    import os
+
+    import pytest
+
+    from tacitra.plans import packed
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables here")
+    stated = {tuple(r) for r in packed.p7_found(spark, sf).collect()}
+    inferred = {tuple(r) for r in packed.p7_inferred(spark, sf).collect()}
+    assert inferred <= stated and len(inferred) >= 0.98 * len(stated)
+
+
+def test_choices_in_a_broadcast_or_a_join(spark):
+    rows = [(f"s{i % 7}", d) for i, d in enumerate(["13/01/2000 10:00", "01/02/2000 10:00", "25/12/1999 8:00", "03/04/2001 9:00", None, "no date", "1999-01-02 03:04:05Z"] * 20)]
+    df = spark.createDataFrame(rows, "site string, date string").selectExpr("site", "date", "'Europe/London' AS tz", "cast(null AS boolean) AS df")
+    one, two = (sorted(map(str, normalise_timestamps(df, "date", "site", "tz", "df", max_broadcast_rows=n).collect())) for n in (0, 20_000))
+    assert one == two and len(one) == len(rows)
