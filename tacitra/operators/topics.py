@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import TYPE_CHECKING
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tacitra.operators.expertise import top_k
 
+if TYPE_CHECKING:
+    from pyspark.ml import PipelineModel
+
 
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 2)
@@ -48,12 +57,72 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(_dot(a, b), F.nullif(F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)), F.lit(0.0))), F.lit(0.0))
 
 
-def assign(vectors: DataFrame, id_col: str, vector: str, centres: DataFrame, max_centres: int = 10_000) -> DataFrame:
-    """(id, label, similarity) of the nearest centroid by cosine; the model's centroids are few and size-checked."""
-    if centres.limit(max_centres + 1).count() > max_centres:
-        raise ValueError("assign: more centroids than max_centres")
-    near = vectors.select(F.col(id_col), F.col(vector).alias("_v")).crossJoin(F.broadcast(centres)).select(id_col, "label", cosine(F.col("_v"), F.col("centroid")).alias("similarity"))
-    return near.groupBy(id_col).agg(F.min_by(F.struct("label", "similarity"), F.struct(-F.round("similarity", 9), F.col("label"))).alias("b")).select(id_col, "b.label", "b.similarity")
+def assign(vectors: DataFrame, id_col: str, vector: str, centres: DataFrame, block: int = 10_000) -> DataFrame:
+    """(id, label, similarity) of the nearest centroid by cosine; ties (to nine places) go to the smaller label.
+
+    The centroids come in blocks of ``block`` at most, each one matrix that is broadcast and multiplied with Arrow batches
+    of vectors; more centroids mean more passes, of which the best is kept per id. A null or empty vector, or one of
+    norm 0, has similarity 0 to all; a repeated id gives one row.
+    """
+    source = vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector}`").alias("v"))
+    kinds = source.schema["id"].dataType, centres.schema["label"].dataType
+    schema = f"id {kinds[0].simpleString()}, label {kinds[1].simpleString()}, similarity double"
+
+    def against(rows: list) -> DataFrame:
+        labels, matrix = [r.label for r in rows], np.array([r.centroid for r in rows], float)
+        norms = np.linalg.norm(matrix, axis=1)
+        matrix = np.divide(matrix, norms[:, None], out=np.zeros_like(matrix), where=norms[:, None] > 0)
+        shared = source.sparkSession.sparkContext.broadcast((labels, matrix))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, known = shared.value
+            size = known.shape[1]
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                given = [[0.0 if x is None else x for x in v] if v is not None and len(v) == size else [0.0] * size for v in batch.column(1).to_pylist()]
+                each = np.array(given, float).reshape(-1, size)
+                length = np.linalg.norm(each, axis=1)
+                close = np.divide(each, length[:, None], out=np.zeros_like(each), where=length[:, None] > 0) @ known.T
+                best = np.argmax(np.round(close, 9), axis=1)  # labels are in order, so the first of equals is the smallest
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([names[i] for i in best], to_arrow_type(kinds[1])), pa.array(close[np.arange(len(best)), best])], names=["id", "label", "similarity"])
+
+        return source.mapInArrow(run, schema)
+
+    parts, rows = [], []
+    for row in centres.where("centroid IS NOT NULL").orderBy("label").toLocalIterator():
+        rows.append(row)
+        if len(rows) == block:
+            parts, rows = [*parts, against(rows)], []
+    if rows:
+        parts.append(against(rows))
+    if not parts:
+        return source.sparkSession.createDataFrame([], schema).withColumnRenamed("id", id_col)
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    best = whole.groupBy("id").agg(F.min_by(F.struct("label", "similarity"), F.struct(-F.round("similarity", 9), F.col("label"))).alias("b"))
+    return best.select(F.col("id").alias(id_col), "b.label", "b.similarity")
+
+
+def fit_clusters(vectors: DataFrame, vector: str, k: int, seed: int = 42, most_rows: int = 50_000) -> PipelineModel:
+    """A k-means model of at most ``most_rows`` vectors (those with the smallest hashes), as a pipeline that can be saved and loaded."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.clustering import KMeans
+
+    sample = vectors.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(F.col(vector)), F.col(vector)).limit(most_rows)
+    return Pipeline(stages=[KMeans(k=k, seed=seed, featuresCol="features", predictionCol="label")]).fit(_features(sample, vector))
+
+
+def with_clusters(vectors: DataFrame, vector: str, model: PipelineModel, least: int = 30) -> DataFrame:
+    """Every vector with its cluster; clusters of fewer than ``least`` members are outliers (-1)."""
+    return without_small(model.transform(_features(vectors.where(F.col(vector).isNotNull()), vector)).drop("features"), least)
+
+
+def _features(vectors: DataFrame, vector: str) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
+
+    return vectors.withColumn("features", array_to_vector(F.transform(F.col(vector), lambda x: x.cast("double"))))
 
 
 def without_small(assigned: DataFrame, least: int = 30, outlier: int = -1) -> DataFrame:

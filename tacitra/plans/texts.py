@@ -129,6 +129,13 @@ def centroid_assign(spark, sf):
     return T.assign(v, "vec_id", "embedding", T.centroids(v, "label", "embedding", 64)).select("vec_id", "label", F.round("similarity", 5).alias("similarity"))
 
 
+@query(None)
+def cluster_sizes(spark, sf):
+    """Clusters fitted to the vectors, small ones as outliers, with their sizes."""
+    v = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return T.with_clusters(v, "embedding", T.fit_clusters(v, "embedding", 10)).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(None)
 def hashed_sample(spark, sf):
     """A repeatable sample of 500 documents (the sampling operator)."""

@@ -6,6 +6,7 @@ import atexit
 import re
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +50,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder; the copy outlives any executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage through a table in the shared checkpoint folder.
+
+    Unlike a checkpoint it carries none of the constraints that the optimiser has inferred; in loops of joins these grow
+    from round to round until planning takes longer than the work.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -82,8 +82,8 @@ def test_betweenness_against_all_shortest_paths(spark):
     got = {r.person: r.betweenness for r in G.betweenness(frame(spark, edges)).collect()}
     for v in nodes:
         assert got[v] == pytest.approx(expected[v] / ((n - 1) * (n - 2)))
-    with pytest.raises(ValueError):
-        G.betweenness(frame(spark, edges), max_edges=1)
+    beyond = {r.person: r.betweenness for r in G.betweenness(frame(spark, edges), max_edges=1).collect()}
+    assert beyond == pytest.approx(got)  # larger graphs are no longer refused
 
 
 def test_edges_and_tiers(spark):
