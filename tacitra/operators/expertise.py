@@ -88,7 +88,7 @@ def inferred_profile(neighbours: DataFrame, profile: DataFrame, k: int = 20) ->
     """A profile guessed from neighbours (person, neighbour): mean score weighted by coverage, scaled to a maximum of 0.5."""
     size = neighbours.groupBy("person").agg(F.countDistinct("neighbour").alias("n"))
     seen = neighbours.join(profile.select(F.col("person").alias("neighbour"), "topic", "score"), "neighbour").groupBy("person", "topic").agg(F.avg("score").alias("mean"), F.count(F.lit(1)).alias("cnt"))
-    raw = seen.join(size, "person").withColumn("raw", F.bround(F.col("mean") * F.least(F.lit(1.0), 5 * F.col("cnt") / F.greatest("n", F.lit(1))), 4))
+    raw = seen.join(size, "person").withColumn("raw", F.bround(F.round(F.col("mean") * F.least(F.lit(1.0), 5 * F.col("cnt") / F.greatest("n", F.lit(1))), 9), 4))
     kept = top_k(raw, ["person"], [F.desc("raw"), F.asc("topic")], k)
-    scaled = kept.withColumn("score", F.bround(F.try_divide(F.col("raw"), F.max("raw").over(Window.partitionBy("person"))) * 0.5, 4))
-    return scaled.select("person", "topic", F.greatest(F.lit(1), F.bround(200 * F.col("score")).cast("int")).alias("cnt"), "score")
+    scaled = kept.withColumn("score", F.bround(F.round(F.try_divide(F.col("raw"), F.max("raw").over(Window.partitionBy("person"))) * 0.5, 9), 4))
+    return scaled.select("person", "topic", F.greatest(F.lit(1), F.bround(F.round(200 * F.col("score"), 6)).cast("int")).alias("cnt"), "score")

@@ -59,8 +59,9 @@ def successor_readiness(spark, sf):
     return ready(spark, sf).select("departed", "topic", "cand", "same_role", "readiness")
 
 
-@query(None)
+@query(_READY + " SELECT departed, topic, CAST(rk AS INT) AS rk, cand, readiness FROM (SELECT departed, topic, cand, readiness, row_number() OVER (PARTITION BY departed, topic ORDER BY readiness DESC, cand) AS rk FROM rd) WHERE rk <= 10")
 def successors(spark, sf):
+    """The ten readiest successors of each topic."""
     return S.successors(ready(spark, sf)).select("departed", "topic", "rk", "cand", "readiness")
 
 

@@ -109,8 +109,17 @@ def inferred_profile_raw(spark, sf):
     return X.top_k(raw, ["person"], [F.desc("raw"), F.asc("topic")], 20).select("person", "topic", F.round("raw", 4).alias("raw_score"))
 
 
-@query(None)
+@query(
+    f"""WITH {_EP}, b AS (SELECT src AS person, dst AS partner FROM edges WHERE src <> dst AND weight >= 5 UNION SELECT dst, src FROM edges WHERE src <> dst AND weight >= 5),
+    z AS (SELECT person, count(*) AS n FROM b GROUP BY person),
+    r AS (SELECT b.person, topic, avg(score) AS mean, count(*) AS cnt FROM b JOIN ep ON ep.person = b.partner GROUP BY ALL),
+    q AS (SELECT r.person, topic, round_even(round(mean * least(1.0, 5.0 * cnt / greatest(n, 1)) * 1e9) / 1e5, 0) / 1e4 AS raw FROM r JOIN z USING (person)),
+    t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY person ORDER BY raw DESC, topic) AS rk FROM q) WHERE rk <= 20),
+    s AS (SELECT person, topic, round_even(round(raw / nullif(max(raw) OVER (PARTITION BY person), 0) * 0.5 * 1e9) / 1e5, 0) / 1e4 AS score FROM t)
+    SELECT person, topic, CAST(greatest(1, round_even(round(200 * score, 6), 0)) AS INT) AS cnt, score FROM s"""
+)
 def inferred_profile(spark, sf):
+    """The profile guessed from the neighbours, scaled to a maximum of one half, with the counts that go with it."""
     e = table(spark, sf, "edges").where("src != dst AND weight >= 5")
     near = e.select(F.col("src").alias("person"), F.col("dst").alias("neighbour")).union(e.select("dst", "src")).distinct()
     return X.inferred_profile(near, profile(spark, sf))

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from tacitra.operators import graph as G
 from tacitra.operators.unpack import unpack_fields
+from tacitra.plans.packed import SQL as _PACKED
 from tacitra.sources.tables import table
 
 _E = "e AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, sum(coalesce(weight, 1.0)) AS weight FROM edges WHERE src <> dst GROUP BY 1, 2)"
 _B = f"{_E}, b AS (SELECT src AS person, dst AS partner, weight FROM e UNION ALL SELECT dst, src, weight FROM e)"
 
 QUERIES, SQL = {}, {}
+P1 = _PACKED["p1_found"]
 
 
 def query(sql: str | None):
@@ -42,7 +44,11 @@ def trade_edges(spark, sf):
     return G.fold_edges(d.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight")))
 
 
-@query(None)
+@query(
+    r"""WITH s AS (SELECT row_id, lower(trim(regexp_extract("from", '([^\s<>"]+@[^\s<>"]+)', 1))) AS f FROM enron_emails WHERE "from" IS NOT NULL),
+    d AS (SELECT f, lower(trim(value)) AS v FROM s JOIN (P1) p USING (row_id) WHERE p.field = 'to'),
+    e AS (SELECT least(f, v) AS src, greatest(f, v) AS dst FROM d WHERE f <> '' AND v <> '' AND f <> v) SELECT src, dst, count(*)::DOUBLE AS weight FROM e GROUP BY 1, 2""".replace("P1", P1)
+)
 def mail_edges(spark, sf):
     """Edges counted from the mail itself: senders with the recipients unpacked from ``to`` (never cc)."""
     mails = table(spark, sf, "enron_emails")

@@ -111,12 +111,17 @@ def class_words(spark, sf):
     return T.class_words(table(spark, sf, "documents"), "source", "text").select("label", "rk", "word")
 
 
-@query(None)
+_KEYWORDS = [(1, "Trading", "position", 3), (1, "Trading", "deal", 3), (1, "Trading", "curve", 1), (2, "Operations", "outage", 3), (2, "Operations", "meter", 3), (2, "Operations", "pressure", 1), (3, "Legal", "agreement", 3), (3, "Legal", "notice", 1)]
+
+
+@query(
+    "WITH cw AS (" + SQL["class_words"] + "), k(cat_ord, category, word, weight) AS (VALUES " + ", ".join(map(str, _KEYWORDS)) + """), s AS (SELECT label AS topic, cat_ord, category, sum(weight) AS s FROM cw JOIN k USING (word) GROUP BY 1, 2, 3),
+    b AS (SELECT topic, arg_min(category, row(-s, cat_ord)) AS category FROM s GROUP BY topic) SELECT DISTINCT label AS topic, coalesce(category, 'General Operations') AS category FROM cw LEFT JOIN b ON topic = label"""
+)
 def categories_of_words(spark, sf):
     """Sources put into categories by a small table of keywords."""
     words = T.class_words(table(spark, sf, "documents"), "source", "text").groupBy(F.col("label").alias("topic")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rk", "word"))), lambda x: x["word"]).alias("words"))
-    rows = [(1, "Trading", "position", 3), (1, "Trading", "deal", 3), (1, "Trading", "curve", 1), (2, "Operations", "outage", 3), (2, "Operations", "meter", 3), (2, "Operations", "pressure", 1), (3, "Legal", "agreement", 3), (3, "Legal", "notice", 1)]
-    return T.categorise(words, spark.createDataFrame(rows, "cat_ord int, category string, word string, weight int"), "General Operations")
+    return T.categorise(words, spark.createDataFrame(_KEYWORDS, "cat_ord int, category string, word string, weight int"), "General Operations")
 
 
 @query(
