@@ -271,8 +271,8 @@ def _profiles(learned: frozenset[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for addr, names in zip(pdf.addr, pdf.names):
-                p = read_address(addr, sorted(n for n in names if n and n.strip()), learned)
+            for addr, names, given in zip(pdf.addr, pdf.names, pdf.given):
+                p = read_address(addr, sorted(n for n in names if n and n.strip()), learned if given is None else learned | frozenset(given))
                 if p is not None:
                     rows.append((addr, addr.partition("@")[2], p.get("org"), p.get("line"), p.get("families", []), p.get("given", []), p.get("middle"), p.get("agreed", False)))
             yield pd.DataFrame(rows, columns=["addr", "domain", "org", "line", "families", "given", "middle", "agreed"])
@@ -420,12 +420,23 @@ def spellings(views: DataFrame, limit: int = 1) -> DataFrame:
     return components(edges).select(F.col("person").alias("family"), F.col("component").alias("label"))
 
 
-def _few_words(learned: DataFrame | None, most_words: int) -> frozenset[str]:
-    """The learned given names, if they are few enough to travel with the tasks; else none, and both orders of a name are weighed."""
-    if learned is None:
-        return frozenset()
+def _named(rows: DataFrame, learned: DataFrame, most_words: int) -> tuple[DataFrame, frozenset[str]]:
+    """((addr, names, given), all learned given names): how they reach the profiles.
+
+    Up to ``most_words`` travel with the tasks; more stay distributed, and ``given`` holds those among an address's own words.
+    """
+    named = rows.repartition(_parts(rows), "addr").groupBy("addr").agg(F.collect_set("name").alias("names"))
     few = learned.select("word").distinct().limit(most_words + 1).collect()
-    return frozenset(r.word for r in few) if len(few) <= most_words else frozenset()
+    if len(few) <= most_words:
+        return named.withColumn("given", F.lit(None).cast("array<string>")), frozenset(r.word for r in few)
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = {(a, w) for a, n in zip(pdf.addr, pdf.name) if n for w in re.findall(r"[^\W\d_]+(?:['’-][^\W\d_]+)*", fold(n))}
+            yield pd.DataFrame(sorted(found), columns=["addr", "word"])
+
+    met = rows.select("addr", "name").mapInPandas(words, "addr string, word string").distinct().join(learned.select("word").distinct(), "word").groupBy("addr").agg(F.collect_list("word").alias("given"))
+    return named.join(met, "addr", "left"), frozenset()
 
 
 def entity_keys(
@@ -440,8 +451,9 @@ def entity_keys(
         sent = typed_names(mails, from_col, None, "").select(F.col("address").alias("addr"), "name")
         rows = rows.unionByName(sent.join(rows.select("addr").distinct(), "addr", "left_semi"))
     rows = checkpointed(rows)
-    learned = _few_words(given_name_evidence(rows.where("name != ''").select(F.col("addr").alias("address"), "name")), most_words)
-    profiles = checkpointed(rows.repartition(_parts(export), "addr").groupBy("addr").agg(F.collect_set("name").alias("names")).mapInPandas(_profiles(learned), _PROFILE))
+    learned = given_name_evidence(rows.where("name != ''").select(F.col("addr").alias("address"), "name"))
+    named, shared = _named(rows, learned, most_words)
+    profiles = checkpointed(named.mapInPandas(_profiles(shared), _PROFILE))
 
     companies = profiles.where("org is not null")
     lines = companies.where("line != ''").groupBy("org").agg(F.countDistinct("line").alias("n"), F.min("line").alias("only"))

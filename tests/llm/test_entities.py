@@ -108,3 +108,12 @@ def test_aliases_senders_and_salts(spark):
     for salt in (1, 1000):
         assert {tuple(r) for r in linked_addresses(export, aliases_col="duplicates", mails=mails, salt_above=salt).collect()} == expected
     assert linked_addresses(export.limit(0), aliases_col="duplicates", mails=mails).count() == 0
+
+
+def test_learned_names_in_a_broadcast_or_a_join(spark):
+    from tacitra.llm.entities import entity_keys
+
+    names = {"a@x.example": "Ollamar, Quendra", "b@x.example": "Tessarin, Quendra", "c@x.example": "Bruvik Quendra", "qbruvik@x.example": None, "d@x.example": "Dessalo, Halmero", "e@x.example": "Halmero Bruvik", "f@x.example": "Bruvik, Halmero"}
+    df = spark.createDataFrame([(names,)], "display_names map<string,string>")
+    one, two = (sorted(map(tuple, entity_keys(df, most_words=n).collect())) for n in (0, 200_000))
+    assert one == two and len(one) == len(names)
